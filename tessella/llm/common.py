@@ -34,7 +34,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None, **
     """Cuts lineage: df as a Parquet table in the shared folder, read again."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write
     for k, v in options.items():
         writer = writer.option(k, v)
     if partition_by:

@@ -77,7 +77,7 @@ class LineRuns:
         while len(self.levels) <= level:
             self.levels.append([])
         path = new_path(self.spark, f"line-run-{level}")
-        run.select("h", "n_docs", "owner").sortWithinPartitions("h").write.option("compression", "zstd").parquet(path)
+        run.select("h", "n_docs", "owner").sortWithinPartitions("h").write.parquet(path)
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             held = self.spark.read.schema(self.SCHEMA).parquet(*self.levels[level])
