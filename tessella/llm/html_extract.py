@@ -141,8 +141,8 @@ def _close_p(stack: list[tuple[str, bool, bool]]) -> None:
             return
 
 
-def covered(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
-    """For each page's token ids, which tokens lie in a run of `least` that another page has too.
+def covered(streams: list[np.ndarray], least: int, pages: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each stream of token ids, which tokens lie in a run of `least` that another page has too. pages: the page of each stream; else each is one.
 
     The suffix array of the concatenated streams is sorted by prefix doubling up to `least` tokens, which is all that is asked of it:
     suffixes equal that far are neighbours, and a group of them is boilerplate if it spans two pages.
@@ -152,9 +152,10 @@ def covered(streams: list[np.ndarray], least: int) -> list[np.ndarray]:
     if sum(size) < least or len(streams) < 2:
         return out
     text = np.concatenate([np.append(s.astype(np.int64) + 1, 0) for s in streams])
-    page = np.repeat(np.arange(len(streams)), np.array(size) + 1)
+    stream = np.repeat(np.arange(len(streams)), np.array(size) + 1)
+    page = stream if pages is None else pages[stream]
     n = len(text)
-    end = np.cumsum(np.array(size) + 1)[page] - 1  # the page's mark
+    end = np.cumsum(np.array(size) + 1)[stream] - 1  # the stream's mark
     rank, have = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
     while have < least:
         step = min(have, least - have)
@@ -194,21 +195,24 @@ def _by_host(least: int):
     def decide(pages: pd.DataFrame) -> pd.DataFrame:
         pages = pages.sort_values("key", kind="stable")
         ids: dict[str, int] = {}
-        rows, streams, held = [], [], []
-        for main, text in zip(pages["main"], pages["text"], strict=True):
-            article = any(main)
-            open_blocks = [i for i, m in enumerate(main) if not m]
-            words = [text[i].split(" ") for i in open_blocks]
-            streams.append(np.array([ids.setdefault(w, len(ids)) for ws in words for w in ws], np.int64))
-            held.append((article, dict(zip(open_blocks, words, strict=True))))
-        for on, (article, words), text in zip(covered(streams, least), held, pages["text"], strict=True):
+        rows, streams, held, of = [], [], [], []
+        for k, (main, text) in enumerate(zip(pages["main"], pages["text"], strict=True)):
+            words = {i: text[i].split(" ") for i, m in enumerate(main) if not m}
+            streams.append([np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64) for ws in words.values()])
+            of += [k] * len(words)
+            held.append((any(main), words))
+        # a run may cross blocks, as menus do, and then takes the blocks that it covers whole; inside a block it is long enough by itself
+        across = covered([np.concatenate(s) if s else np.zeros(0, np.int64) for s in streams], least)
+        within = iter(covered([b for s in streams for b in s], least, np.array(of, np.int64)))
+        for on, (article, words), text in zip(across, held, pages["text"], strict=True):
             at, out = 0, []
             for i, one in enumerate(text):
                 if i in words:
-                    ws = words[i]
-                    left = [w for w, c in zip(ws, on[at : at + len(ws)], strict=True) if not c]
+                    ws, gone = words[i], next(within)
+                    if on[at : at + len(ws)].all():
+                        gone = np.ones(len(ws), bool)
                     at += len(ws)
-                    one = "" if article else " ".join(left)
+                    one = "" if article else " ".join(w for w, g in zip(ws, gone, strict=True) if not g)
                 if one:
                     out.append(one)
             rows.append("\n\n".join(out))
