@@ -1,3 +1,82 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Without SQL, and tested against plain Python instead: chat formatting, suffix-array dedup, decontamination, token output, HTML extraction, token
+counts and the pipeline.
+"""
+
+from __future__ import annotations
+
+from tessella.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RULES
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+LINE_DEDUP = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [''] ELSE string_split(text, chr(10)) END AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+k AS (SELECT doc_id, i, line, translate(trim(line, {_BLANK}), {_AZ}) AS key FROM e),
+h AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT k.*, h.owner IS NULL OR h.owner = k.doc_id AS stays FROM k LEFT JOIN h USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT stays))::BIGINT AS n_dropped,
+sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM j GROUP BY doc_id
+"""
+
+MIXING = rf"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size, 1 - len(regexp_extract_all(t, '[#*$%&|<>]')) / greatest(length(t), 1) AS share,
+(('0x' || substr(md5('17:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM t),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM w GROUP BY source),
+o AS (SELECT source, n, 2.0::DOUBLE * n AS cap, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS g FROM s),
+f AS (SELECT *, 1.5::DOUBLE * sum(n) OVER () AS total, coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(g) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g_from FROM o
+WINDOW r AS (ORDER BY cap / g, source IS NULL, source)),
+a AS (SELECT arg_min((total - before) / g_from, cap / g) FILTER (cap >= (total - before) / g_from * g) AS lvl FROM f),
+p AS (SELECT source, n, coalesce(least(cap, lvl * g), cap) AS target FROM f, a),
+q AS (SELECT source AS src, n, target, CASE WHEN n > 0 THEN floor(target / n + 1e-12)::BIGINT ELSE 0 END AS epochs FROM p),
+x AS (SELECT w.*, q.*, sum(size) OVER (PARTITION BY source ORDER BY -ln(u) / greatest(0.05, share * share), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM w JOIN q ON w.source IS NOT DISTINCT FROM q.src)
+SELECT doc_id, source, size, n AS source_size, round(target, 6) AS target, (size * (epochs + (upto - size / 2.0 <= target - epochs * n)::BIGINT))::BIGINT AS taken FROM x
+"""
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=f"translate(coalesce(text, ''), {_AZ})")} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(v, u) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.v, g.b FROM r JOIN g ON g.a = r.u),
+c AS (SELECT v, min(u) AS c FROM r GROUP BY v)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN c ON v = doc_id
+"""
+
+
+def quality(risk: float = 0.004, delta: float = 0.05) -> str:
+    grid = ", ".join(f"('{r}', {i}, {c})" for r, cuts in RULES.items() for i, c in enumerate(cuts))
+    n_cuts = sum(map(len, RULES.values()))
+    scores = (
+        "floor(n_symbols * 1000 / greatest(word_chars, 1)) AS symbols_permille, floor(n_dup_lines * 1000 / greatest(n_solid, 1)) AS dup_lines_permille, "
+        "floor(n_repeat_words * 1000 / greatest(n_words, 1)) AS repeat_words_permille, floor(word_chars * 100 / greatest(n_words, 1)) AS long_words_centi, -floor(word_chars * 100 / greatest(n_words, 1)) AS short_words_centi"
+    )
+    rows = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {r} AS score FROM m" for r in RULES)
+    return rf"""
+WITH t AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS l FROM documents),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM t WHERE len(w) >= 8),
+rep AS (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM rep GROUP BY doc_id),
+b AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+(len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_solid, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN cov USING (doc_id)),
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {scores} FROM b),
+sc AS ({rows}),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+grid(rule, i, cut) AS (VALUES {grid}),
+held AS (SELECT sc.* FROM sc JOIN good USING (doc_id) JOIN m USING (doc_id) WHERE NOT m.base_failed),
+k AS (SELECT stratum, rule, i, cut, count(*) AS n, sum((score > cut)::INT) AS k FROM held JOIN grid USING (rule) GROUP BY ALL),
+tests AS (SELECT count(DISTINCT coalesce(stratum, chr(1))) * {n_cuts} AS tests FROM k),
+safe AS (SELECT stratum, rule, arg_min(cut, i) AS cut FROM k, tests WHERE k <= n * {risk}
+AND list_sum(list_transform(range((CASE WHEN k <= n * {risk} THEN k ELSE 0 END)::BIGINT + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({risk}) + (n - x) * ln(1 - {risk})))) <= {delta} / tests GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM sc JOIN safe ON sc.rule = safe.rule AND sc.stratum IS NOT DISTINCT FROM safe.stratum WHERE score > cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
+"""
+
+
+ORACLES: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_quality_rules": quality(), "op5_mixing": MIXING, "op7_minhash_dedup": NEAR_DUPLICATES}

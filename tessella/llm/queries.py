@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.common import ship, table
 
@@ -44,7 +45,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.llm.mixture import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
