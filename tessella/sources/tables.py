@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,10 +73,6 @@ def append_new(df: DataFrame, path: str, key: str, schema: str, limit: int | Non
 
 def read_text_any(spark: SparkSession, path: str) -> DataFrame:
     """path, text: whole files, gzip or plain by their first bytes, whatever the name says."""
-    import gzip
-
-    import pandas as pd
-
     def plain(content: pd.Series) -> pd.Series:
         return content.map(lambda b: (gzip.decompress(b) if b[:2] == b"\x1f\x8b" else b).decode("utf-8", "replace"))
 
