@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NO_ID, SPACE, WORD, source_columns, written
+from tessella.llm.common import NO_ID, WORD, source_columns, written
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 def word_count(text: Column) -> Column:
@@ -20,15 +20,16 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column, least: float = 0.05) -> Column:
     """The squared share of characters that aren't symbols, at least `least`; 1 for a text without characters."""
-    solid = F.translate(F.coalesce(text, F.lit("")), SPACE, "")
-    n = F.char_length(solid)
-    share = F.char_length(F.translate(solid, SYMBOLS, "")) / F.greatest(n, F.lit(1))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(least), share * share))
+    text = F.coalesce(text, F.lit(""))
+    n = F.char_length(text)
+    share = 1 - F.regexp_count(text, F.lit(SYMBOLS)) / F.greatest(n, F.lit(1))
+    return F.greatest(F.lit(least), share * share)
 
 
-def uniform(seed: int, *columns: Column) -> Column:
-    """In (0, 1), from 52 bits of a hash of the columns."""
-    return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+def uniform(seed: int, did: Column) -> Column:
+    """In (0, 1), from 52 bits of md5 of seed and id: any engine draws the same."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), did.cast("string"))), 1, 13), 16, 10).cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def targets(sizes: DataFrame, weights: list[float], share: float, epochs: float) -> DataFrame:
@@ -56,8 +57,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     """doc_id, source, size, source_size, target, taken and copies (how often the whole document enters the mix) of every row.
 
     Sizes are words (null text: 0). Sources weigh by code point order, null last. Each document is in every complete epoch; the rest of
-    the target goes by ascending key, the document on the boundary joining when that comes nearer. Ties of the key break by hash, id and
-    size; equal rows are interchangeable. A row of size 0 takes 0 and one copy for each epoch. A null doc_id is a document like others.
+    the target goes by ascending key, the document on the boundary joining when that comes nearer. Rows of one id break ties by a hash of their
+    texts; equal rows are interchangeable. A row of size 0 takes 0 and one copy for each epoch. A null doc_id is a document like others.
     Empty table: empty result. Other columns are not read.
 
     Prefix sums at any size: keys fall in `bins` ranges, a source's range totals are summed first (partial sums before the shuffle), and
@@ -68,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         "doc_id", "source", word_count(text).alias("size"), quality_weight(text).alias("weight"), F.xxhash64(text).alias("mark")
     )
     did = F.coalesce("doc_id", F.lit(NO_ID))
-    rows = rows.withColumn("key", -F.log(uniform(seed, did, F.col("mark"))) / F.col("weight"))
+    rows = rows.withColumn("key", -F.log(uniform(seed, did)) / F.col("weight"))
     rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins).cast("int")).drop("weight")
     rows = written(rows, "mix")
     sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("n"))
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     plan = plan.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
     all_rows = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s") if bounded(plan) else rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     split = F.col("bin") == F.col("edge")
-    order = Window.partitionBy("source").orderBy("key", "mark", F.coalesce("doc_id", F.lit(NO_ID)), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("key", F.coalesce("doc_id", F.lit(NO_ID)), "mark", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_edge = all_rows.where(split).withColumn("upto", F.col("before") + F.sum("size").over(order))
     at_edge = at_edge.withColumn("more", (F.col("upto") - F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("upto")
     others = all_rows.where(~F.coalesce(split, F.lit(False))).withColumn("more", (F.col("edge").isNull() | (F.col("bin") < F.col("edge"))).cast("long"))
