@@ -3,11 +3,14 @@
 1. A text's word shingles are hashed to a set; equal sets are one class from here on, so copies cost nothing more.
 2. Each class is posted under its K (coordinate, minimum) pairs. Pairs that agree in at least T coordinates share one of the K - T + 1
    rarest postings of each, so only these prefixes are merged, and postings held by one class are skipped altogether.
-3. Collisions are counted on one byte for each coordinate. A posting's classes first meet its most central member; those links are
-   confirmed on full sets and joined to components. Then classes of one posting that are still in different components meet in blocks,
-   and all pairs with T collisions or more are confirmed. Links inside a component would change nothing and are skipped.
-
-T of K: at a similarity of 0.8 a pair agrees in K * 0.8 coordinates on average; P(fewer than 15 of 32) is below 2e-5.
+3. Collisions are counted on one byte for each coordinate of a longer signature. A posting's classes first meet its most central member; those links are
+   confirmed on full sets and joined to components. Then classes of one posting that are still in different components meet in blocks;
+   those that have a partner with enough collisions get their full sets and all their pairs are decided there. Links inside a component
+   would change nothing and are skipped, and pairs are never written out.
+
+T of K: at a similarity of 0.8 a pair agrees in K * 0.8 coordinates on average; P(fewer than 15 of 32) is below 2e-5. ALL and LEAST: a pair that is
+to be confirmed agrees in LEAST of ALL one-byte coordinates, the K and further ones that aren't posted; P(fewer than 80 of 128) is below 2e-6
+at 0.8, and few pairs under 0.5 pass.
 """
 
 from __future__ import annotations
@@ -24,18 +27,25 @@ from tessella.llm.common import NO_ID, partitions, seeded, ship, shingle_set, so
 from tessella.llm.components import components
 
 K, T = 32, 15
+ALL, LEAST = 128, 80
 #: Rows of a posting that one block holds; larger postings meet block by block.
-BLOCK = 2048
+BLOCK = 1024
 _MUL, _ADD = seeded(K, 5), seeded(K, 6)
+_MUL32, _ADD32 = ((seeded(ALL - K, s) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for s in (7, 8))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """K minima of multiply-add hashes; the smallest hash wins in each coordinate."""
+def signature(shingles: np.ndarray) -> bytes:
+    """K eight-byte coordinates for the postings, then ALL - K one-byte ones."""
     out = np.full(K, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        x = shingles[i : i + 4096, None] * _MUL + _ADD
-        out = np.minimum(out, (x ^ (x >> np.uint64(29))).min(axis=0))
-    return splitmix(out + np.arange(K, dtype=np.uint64))
+    more = np.full(ALL - K, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(shingles), 2048):
+        x = shingles[i : i + 2048, None]
+        y = x * _MUL + _ADD
+        out = np.minimum(out, (y ^ (y >> np.uint64(29))).min(axis=0))
+        z = (x >> np.uint64(20)).astype(np.uint32) * _MUL32 + _ADD32
+        more = np.minimum(more, (z ^ (z >> np.uint32(15))).min(axis=0))
+    small = splitmix(more.astype(np.uint64) + np.arange(K, ALL, dtype=np.uint64) * np.uint64(1 << 32)).astype(np.uint8)
+    return splitmix(out + np.arange(K, dtype=np.uint64)).tobytes() + small.tobytes()
 
 
 def _sketches(width: int):
@@ -48,7 +58,7 @@ def _sketches(width: int):
                 sizes.append(len(s))
                 c1.append((key >> 64) - (1 << 63))
                 c2.append((key & (2**64 - 1)) - (1 << 63))
-                sigs.append(signature(s).tobytes() if len(s) else b"")
+                sigs.append(signature(s) if len(s) else b"")
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sigs, pa.binary())], ["did", "n_shingles", "c1", "c2", "sig"])
 
     return sketch
@@ -57,7 +67,7 @@ def _sketches(width: int):
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(rep, sig) to (key, rep): the coordinate is already mixed into its value."""
     for batch in batches:
-        keys = np.concatenate([np.frombuffer(s.as_buffer(), np.int64) for s in batch.column(1)] or [np.zeros(0, np.int64)])
+        keys = np.concatenate([np.frombuffer(s.as_buffer(), np.int64, K) for s in batch.column(1)] or [np.zeros(0, np.int64)])
         yield pa.record_batch([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(), K))], ["key", "rep"])
 
 
@@ -90,10 +100,10 @@ def _stars(least: int):
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, 2):
             rep = np.concatenate([p.column(2).to_numpy() for p in parts])
-            sig = np.frombuffer(b"".join(x for p in parts for x in p.column(3).to_pylist()), np.uint8).reshape(len(rep), K)
+            sig = np.frombuffer(b"".join(x for p in parts for x in p.column(3).to_pylist()), np.uint8).reshape(len(rep), ALL)
             a, b = [], []
             while len(rep) > 1:
-                common = np.array([np.bincount(sig[:, j], minlength=256).argmax() for j in range(K)], np.uint8)
+                common = np.array([np.bincount(sig[:, j], minlength=256).argmax() for j in range(ALL)], np.uint8)
                 mid = int(_collisions(sig, common).argmax())
                 near = _collisions(sig, sig[mid]) >= least
                 near[mid] = False
@@ -108,23 +118,75 @@ def _stars(least: int):
     return stars
 
 
-def _across(least: int):
-    """Pairs of blocks (key, x, y, block, rep, component, small) to pairs of different components with enough collisions."""
+def _candidates(least: int):
+    """Pairs of blocks (key, x, y, block, rep, component, small, keys) to the rows of these that have a candidate here: another component, enough
+    collisions, and no smaller key in common, where the pair would meet already. Pairs themselves are not written."""
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, x, y), parts in _groups(batches, 3):
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, x, y), parts in _groups(batches, 3):
             block, rep, comp = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (3, 4, 5))
-            sig = np.frombuffer(b"".join(s for p in parts for s in p.column(6).to_pylist()), np.uint8).reshape(len(rep), K)
+            sig = np.frombuffer(b"".join(s for p in parts for s in p.column(6).to_pylist()), np.uint8).reshape(len(rep), ALL)
+            smaller = np.full((len(rep), K), key, np.int64)
+            for i, ks in enumerate(k for p in parts for k in p.column(7).to_pylist()):
+                low = [k for k in ks if k < key][:K]
+                smaller[i, : len(low)] = low
             left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+            hit = np.zeros(len(rep), bool)
             for i in left:
-                ok = (_collisions(sig[right], sig[i]) >= least) & (comp[right] != comp[i])
-                if x == y:
-                    ok &= rep[right] > rep[i]
-                if ok.any():
-                    other, own = rep[right[ok]], np.full(int(ok.sum()), rep[i])
-                    yield pa.record_batch([pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other))], ["a", "b"])
+                other = right[right > i] if x == y else right
+                other = other[(comp[other] != comp[i]) & (_collisions(sig[other], sig[i]) >= least)]
+                own = smaller[i][smaller[i] < key]
+                if len(other) and len(own):
+                    other = other[~np.isin(smaller[other], own).any(axis=1)]
+                if len(other):
+                    hit[i] = hit[other] = True
+            n = int(hit.sum())
+            yield pa.record_batch([pa.array([key] * n, pa.int64()), pa.array([x] * n, pa.int32()), pa.array([y] * n, pa.int32()), pa.array(rep[hit]), pa.array(comp[hit])], ["key", "x", "y", "rep", "component"])
+
+    return candidates
+
+
+def _block_sets(width: int):
+    """(v, text, places: array of struct(key, x, y, component)) to a row for each place with the set."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s, places = shingle_set(text_bytes(batch.column(1)[i]), width).tobytes(), batch.column(2)[i].values
+                for j in range(0, len(places), 64):
+                    part = places.slice(j, 64)
+                    cols = [part.field(c) for c in ("key", "x", "y", "component")]
+                    yield pa.record_batch([*cols, pa.array([batch.column(0)[i].as_py()] * len(part), pa.int64()), pa.array([s] * len(part), pa.binary())], ["key", "x", "y", "component", "v", "set"])
+
+    return sets
+
+
+def _links(percent: int):
+    """The rows of a pair of blocks with their sets to links between components, as many as join them."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _groups(batches, 3):
+            comp, v = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in (3, 4))
+            sets = [np.frombuffer(s, np.uint64) for p in parts for s in p.column(5).to_pylist()]
+            size = np.array([len(s) for s in sets])
+            words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            end = np.cumsum(size)
+            start = end - size
+            comp = comp.copy()
+            a, b = [], []
+            for i in range(len(v) - 1):
+                mark = np.zeros(len(words), np.int64)
+                mark[flat[start[i] : end[i]]] = 1
+                both = np.add.reduceat(mark[flat[end[i] :]], start[i + 1 :] - end[i])
+                near = np.flatnonzero(100 * both >= percent * (size[i] + size[i + 1 :] - both)) + i + 1
+                for j in near.tolist():
+                    if comp[i] != comp[j]:
+                        a.append(v[i])
+                        b.append(v[j])
+                        comp[comp == comp[j]] = comp[i]
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return across
+    return links
 
 
 def _sets(width: int):
@@ -194,7 +256,7 @@ def confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int, salt
     own = pairs.select("hub", "salt").distinct().select(F.col("hub").alias("v"), F.struct("hub", "salt", F.lit(0).alias("first")).alias("h"))
     partners = pairs.select("v", F.struct("hub", "salt", F.lit(1).alias("first")).alias("h"))
     hubs = own.unionByName(partners).groupBy("v").agg(F.collect_list("h").alias("hubs"))
-    held = texts.join(hubs, "v").select("v", "text", "hubs").mapInArrow(_sets(width), "hub long, salt int, first int, v long, set binary")
+    held = texts.join(hubs.hint("merge"), "v").select("v", "text", "hubs").mapInArrow(_sets(width), "hub long, salt int, first int, v long, set binary")
     held = held.repartition(partitions(spark), "hub", "salt").sortWithinPartitions("hub", "salt", "first")
     return held.mapInArrow(_confirm(percent), "a long, b long")
 
@@ -209,6 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     ship(spark)
+    n = partitions(spark)
     rows = source_columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "text")
     sketches = rows.mapInArrow(_sketches(width), "did long, n_shingles long, c1 long, c2 long, sig binary")
     sketches = written(sketches, "near-sketches")
@@ -222,27 +285,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = posted.join(counts, "key")
     # of a class's K postings those held by it alone are rarest and come first: they use up the prefix without being merged
     by_rep = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("p"))
-    prefix = by_rep.select("rep", F.explode(F.slice("p", 1, F.greatest(F.lit(K - T + 1) - (F.lit(K) - F.size("p")), F.lit(0)))).alias("x"))
+    by_rep = by_rep.select("rep", F.slice("p", 1, F.greatest(F.lit(K - T + 1) - (F.lit(K) - F.size("p")), F.lit(0))).alias("p"))
+    prefix = by_rep.select("rep", F.explode("p").alias("x"), F.col("p.key").alias("keys"))
     small = reps.select("rep", _low_bytes("sig").alias("small"))
-    prefix = written(prefix.select("rep", "x.key", "x.c").join(small, "rep"), "near-prefix")
+    prefix = written(prefix.select("rep", "x.key", "x.c", "keys").join(small, "rep"), "near-prefix")
 
-    texts = rows.withColumnRenamed("did", "v")
+    # only texts with a shared posting are looked at again; they move once, and both rounds below read this table
+    shared_ids = prefix.select(F.col("rep").alias("did")).distinct()
+    texts = written(rows.join(shared_ids.hint("merge"), "did").select(F.col("did").alias("v"), "text"), "near-texts")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
     dealt = prefix.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    in_blocks = dealt.select("key", "block", "rep", "small").repartition(partitions(spark), "key", "block").sortWithinPartitions("key", "block", "rep")
-    star = written(in_blocks.mapInArrow(_stars(T), "a long, b long").distinct(), "near-stars")
+    in_blocks = dealt.select("key", "block", "rep", "small").repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep")
+    star = written(in_blocks.mapInArrow(_stars(LEAST), "a long, b long").distinct(), "near-stars")
     links = written(confirmed(star, texts, width, percent), "near-links")
     comps = components(links).withColumnRenamed("v", "rep")
 
     dealt = dealt.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     dealt = written(dealt, "near-dealt")
     mixed = dealt.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    pairs = dealt.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "small")
-    pairs = pairs.repartition(partitions(spark), "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
-    rest = written(pairs.mapInArrow(_across(T), "a long, b long").distinct().join(star, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        links = links.unionByName(written(confirmed(rest, texts, width, percent), "near-links"))
+    met = dealt.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "small", "keys")
+    met = met.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
+    left = written(met.mapInArrow(_candidates(LEAST), "key long, x int, y int, rep long, component long"), "near-left")
+    if not left.isEmpty():
+        places = left.groupBy(F.col("rep").alias("v")).agg(F.collect_list(F.struct("key", "x", "y", "component")).alias("places"))
+        held = texts.join(places.hint("merge"), "v").select("v", "text", "places").mapInArrow(_block_sets(width), "key long, x int, y int, component long, v long, set binary")
+        held = held.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "v")
+        links = links.unionByName(written(held.mapInArrow(_links(percent), "a long, b long"), "near-links"))
 
     # an id with rows in several classes ties their representatives
     ids = some.join(classes, ["c1", "c2"]).select("did", "rep").distinct()
@@ -256,5 +325,5 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def _low_bytes(sig: str):
-    """One byte of each 8-byte coordinate."""
-    return F.concat(*[F.substring(sig, 8 * j + 1, 1) for j in range(K)])
+    """One byte of each coordinate."""
+    return F.concat(*[F.substring(sig, 8 * j + 1, 1) for j in range(K)], F.substring(sig, 8 * K + 1, ALL - K))
