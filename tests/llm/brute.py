@@ -118,3 +118,63 @@ def mix_targets(sizes, weights=(3, 1, 2), share=1.5, epochs=2):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def mix(rows, weights=(3, 1, 2), share=1.5, epochs=2, seed=17):
+    """rows: (doc_id, source, text), ids distinct, to {doc_id: copies}."""
+    import math
+
+    size = {d: len(WORD.findall(t or "")) for d, _, t in rows}
+    sizes = defaultdict(int)
+    for d, s, _ in rows:
+        sizes[s] += size[d]
+    target, out = mix_targets(dict(sizes), weights, share, epochs), {}
+    for s, total in sizes.items():
+        whole = math.floor(target[s] / total + 1e-12) if total else 0
+        rest, upto = target[s] - whole * total, 0
+
+        def key(r):
+            u = (int(hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            part = 1 - sum(c in "#*$%&|<>" for c in r[2] or "") / max(1, len(r[2] or ""))
+            return -math.log(u) / max(0.05, part * part), r[0]
+
+        for d, _, _ in sorted((r for r in rows if r[1] == s), key=key):
+            upto += size[d]
+            out[d] = whole + (upto - size[d] / 2 <= rest)
+    return out
+
+
+def tile_cover(doc, item, least):
+    """Words of the item under greedy tiles, by the book: the longest match of free words, again and again."""
+    fd, fi, covered = [True] * len(doc), [True] * len(item), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                k = 0
+                while i + k < len(item) and d + k < len(doc) and item[i + k] == doc[d + k] and fi[i + k] and fd[d + k]:
+                    k += 1
+                if k >= least and (-k, i, d) < best:
+                    best = (-k, i, d)
+        if not best[0]:
+            return covered
+        k, i, d = best
+        covered -= k
+        for x in range(-k):
+            fd[d + x] = fi[i + x] = False
+
+
+def contaminated(rows, items, least=5, coverage=0.5):
+    """rows, items: (id, text) to the ids of rows that hold an item."""
+    import math
+
+    words = lambda t: [ascii_lower(x) for x in WORD.findall(t or "")]
+    out = set()
+    for d, t in rows:
+        w = words(t)
+        grams = {tuple(w[i : i + least]) for i in range(len(w) - least + 1)}
+        for _, it in items:
+            m = words(it)
+            if any(tuple(m[i : i + least]) in grams for i in range(len(m) - least + 1)) and tile_cover(w, m, least) >= math.ceil(len(m) * coverage):
+                out.add(d)
+    return out
