@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import NO_ID, new_path, partitions, ship, source_columns
-from tessella.llm.token_counts import WordEncoder
+from tessella.llm.token_counts import word_encoder
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ def encoder(path: str, end_id: int, slice_bytes: int = 4 << 20):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
-            words = words or WordEncoder(path)
+            words = words or word_encoder(path)
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
             low = 0
             while low < len(texts):
@@ -56,8 +56,8 @@ def encoder(path: str, end_id: int, slice_bytes: int = 4 << 20):
                     held += len(texts[high])
                     high += 1
                 rows, firsts = [], []
-                for one in words.words(texts[low:high]):
-                    rows.append(np.append(np.frombuffer(words.joined(one), "<i4"), np.int32(end_id)))
+                for one in words.encode(texts[low:high]):
+                    rows.append(np.append(np.frombuffer(one, "<i4"), np.int32(end_id)))
                     firsts.append(at)
                     at += len(rows[-1])
                 sizes = np.array([len(r) for r in rows], np.int64)
