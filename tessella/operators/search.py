@@ -54,8 +54,8 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
         yield ids, np.stack(rows)
 
 
-def _scorer(block, top: int | None):
-    """Views (item_id, view_id, emb), all of an item in one partition, to each query's best items of the partition."""
+def _scorer(block, top: int | None, least: float | None = None):
+    """Views (item_id, view_id, emb), all of an item in one partition, to each query's best items of the partition, or those of at least `least`."""
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = block.value
@@ -79,6 +79,10 @@ def _scorer(block, top: int | None):
         if items:
             item, high, who = _fold(items, best, views)
             n = len(item)
+            if least is not None:
+                rows, col = np.nonzero(high >= least)
+                yield pd.DataFrame({"query_id": np.asarray(ids)[col], "item_id": item[rows], "score": high[rows, col], "best_view": who[rows, col]})
+                return
             rows = np.argsort(-high, axis=0, kind="stable")[:top].T.ravel() if top is not None and n > top else np.tile(np.arange(n), len(ids))
             col = np.repeat(np.arange(len(ids)), len(rows) // len(ids))
             yield pd.DataFrame({"query_id": np.asarray(ids)[col], "item_id": item[rows], "score": high[rows, col], "best_view": who[rows, col]})
@@ -103,19 +107,19 @@ def _trim(item, high, who, top):
     return [item[keep]], [high[keep]], [who[keep]]
 
 
-def item_scores(queries: DataFrame, views: DataFrame, top: int | None = None) -> DataFrame:
+def item_scores(queries: DataFrame, views: DataFrame, top: int | None = None, least: float | None = None) -> DataFrame:
     """query_id, item_id, score, best_view: an item's best view decides, the largest view_id among equals.
 
     queries: query_id, emb. views: item_id, view_id, emb. The index is dealt by item over the cluster and never broadcast; queries go out in
     blocks of bounded size and each batch of views is one matrix product. With top, a partition returns only its best `top` items for each
-    query, so what is shuffled doesn't grow with the index.
+    query, so what is shuffled doesn't grow with the index. With least, only scores of at least that are made into rows.
     """
     spark = views.sparkSession
     ship(spark)
     dealt = views.select(F.col("item_id").cast("long"), F.col("view_id").cast("long"), "emb").repartition("item_id").sortWithinPartitions("item_id", "view_id")
     out = None
     for block in _blocks(queries):
-        found = dealt.mapInPandas(_scorer(spark.sparkContext.broadcast(block), top), "query_id long, item_id long, score double, best_view long")
+        found = dealt.mapInPandas(_scorer(spark.sparkContext.broadcast(block), top, least), "query_id long, item_id long, score double, best_view long")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, item_id long, score double, best_view long")
 
