@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, WORD, source_columns
+from tessella.llm.common import SPACE, source_columns
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: Fixed grid: rule, and its cutoffs from strict to lenient. A document is rejected where score > cutoff.
 RULES: dict[str, tuple[int, ...]] = {
     "symbols_permille": (10, 20, 50, 100, 150, 200, 300),
@@ -71,8 +71,8 @@ def base_columns(text: Column) -> dict[str, Column]:
     return {
         "w": by_words,
         "l": counts,
-        "word_chars": F.char_length(F.translate(text, SPACE, "")).cast("long"),
-        "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": (F.char_length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
     }
 
 
