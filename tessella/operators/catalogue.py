@@ -85,6 +85,18 @@ def item_views(items: DataFrame, k: int | None = None, excluded: DataFrame | Non
     return rows.select("item_id", F.posexplode(views).alias("view_id", "url"))
 
 
+def present_views(views: DataFrame, files: DataFrame, root: str = "images") -> DataFrame:
+    """The views (item_id, view_id) whose sharded file is there; files: filename relative to the folder above root."""
+    path = X.shard_path(F.col("item_id"), F.col("view_id").cast("long"), root)
+    return views.join(files.select(F.col("filename").alias("__file")).distinct(), path == F.col("__file"), "left_semi")
+
+
+def usable_items(views: DataFrame, least: int = 3, first: int | None = None) -> DataFrame:
+    """item_id, n_views of the items with enough views, the first of them by id."""
+    out = views.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_views")).where(F.col("n_views") >= least)
+    return out if first is None else out.orderBy("item_id").limit(first)
+
+
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds place from 1 in an order that a hash of seed and key draws: the same on any cluster."""
     return rows.withColumn("place", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)))

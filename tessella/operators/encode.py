@@ -93,6 +93,47 @@ def encode_views(images: DataFrame, e: Encoder, config: Config = Config(), mirro
     return rows.mapInPandas(run, "item_id long, view_id int, mirrored boolean, emb array<float>")
 
 
+def crops(img: np.ndarray, e: Encoder, config: Config, localised: bool) -> tuple[list[tuple[str, np.ndarray]], float | None]:
+    """What a lookup encodes: the image, its localised crop if asked for, and the mirror image of the last of these; and the crop's share of the frame."""
+    side = config.size_for(e)
+    square = I.resize(img, side, side, cubic=True)
+    if not localised:
+        return [("image", square), ("mirror", square[:, ::-1])], None
+    part, _, area = I.localise(img, e.tokens(square[None])[0, e.prefix :], e.grid)
+    near = I.resize(part, side, side, cubic=True)
+    return [("image", square), ("localised", near), ("mirror", near[:, ::-1])], area
+
+
+QUERY_CROPS = "query_id long, crop string, emb array<float>, salient_area double, laplacian_var double, mean_luma double, luma_p05 double, luma_p95 double"
+
+
+def encode_queries(images: DataFrame, e: Encoder, config: Config = Config(), localised: bool = True) -> DataFrame:
+    """query_id, image to a row for each crop with its vector and the photo's features; feeds search.lookup. Null images are left out."""
+    ship(images.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for q, row in zip(f["query_id"], f["image"], strict=True):
+                img = I.from_struct(row)
+                found, area = crops(img, e, config, localised)
+                vectors = encode_batch(np.stack([c for _, c in found]), e, config)
+                out += [(int(q), name, v, area, *I.quality(img)) for (name, _), v in zip(found, vectors, strict=True)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in QUERY_CROPS.split(", ")])
+
+    return images.where(F.col("image").isNotNull()).select("query_id", "image").mapInPandas(run, QUERY_CROPS)
+
+
+def lookup_path(spark, path: str, views: DataFrame, e: Encoder, config: Config = Config(), k: int = 5, localised: bool = True) -> DataFrame:
+    """path, rank, item_id, score for each image under path."""
+    from tessella.operators.search import lookup
+    from tessella.sources.tables import read_images
+
+    images = read_images(spark, path).withColumn("query_id", F.xxhash64("path"))
+    found = lookup(encode_queries(images, e, config, localised), views, k)
+    return found.join(images.select("query_id", "path"), "query_id").select("path", "rank", "item_id", "score")
+
+
 def grid_tokens(batch: np.ndarray, grid: int = 4) -> np.ndarray:
     """A model without weights: a patch's token is the mean and deviation of its colours, the global token their mean. For tests and examples."""
     b, s = batch.shape[0], batch.shape[1] // grid

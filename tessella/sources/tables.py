@@ -93,6 +93,28 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*MANIFEST).withColumn("line", F.monotonically_increasing_id() + 2)
 
 
+def write_ids(ids: DataFrame, path: str) -> None:
+    """An exclusion list: one JSON array of the distinct ids, ascending. A list of held-out items, made by hand or by a draw."""
+    first = ids.columns[0]
+    one = ids.select(F.col(first).cast("long").alias("id")).distinct().agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_ids(spark: SparkSession, path: str, name: str = "product_id") -> DataFrame:
+    """The ids of such a file; a missing one is an empty list."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{name} long")
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.explode(F.from_json("value", "array<long>")).alias(name))
+
+
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """filename (relative to root) and length of the non-empty files under root, without their contents."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length").where("length > 0")
+    base = root.split("://", 1)[-1].rstrip("/")
+    return listed.select(F.regexp_replace(F.expr(f"substring_index(path, '{base}/', -1)"), "^/", "").alias("filename"), "length")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
