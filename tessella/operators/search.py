@@ -13,6 +13,8 @@ from tessella.functions.vectors import dot
 
 #: Floats of queries that one pass broadcasts; more queries are more passes.
 BLOCK_FLOATS = 4_000_000
+#: Queries that the built-in form broadcasts at most.
+SMALL = 10_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -137,7 +139,9 @@ def search(queries: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
 
 
 def search_sql(queries: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
-    """The same in built-in expressions, for a small query set (it is the broadcast side)."""
+    """The same in built-in expressions, for a query set of at most SMALL rows (it is the broadcast side)."""
+    if len(queries.select("query_id").take(SMALL + 1)) > SMALL:
+        raise ValueError(f"more than {SMALL} queries: use search")
     pairs = views.crossJoin(F.broadcast(queries.select("query_id", F.col("emb").alias("q_emb"))))
     scored = pairs.select("query_id", "item_id", F.struct(dot(F.col("q_emb"), F.col("emb")).alias("score"), "view_id").alias("s"))
     best = scored.groupBy("query_id", "item_id").agg(F.max("s").alias("s"))

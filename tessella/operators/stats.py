@@ -94,7 +94,7 @@ def cooccurrence(rows: DataFrame, key: str, values: str, names: list[str] | None
     if names is not None:
         n = rows.sparkSession.createDataFrame([(x,) for x in names], "v string").join(n, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"))
     both = rows.select(F.explode(F.array_distinct(values)).alias("a"), F.array_distinct(values).alias("vs")).select("a", F.explode("vs").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
-    grid = n.select(F.col("v").alias("a"), F.col("n").alias("n_a")).crossJoin(F.broadcast(n.select(F.col("v").alias("b"), F.col("n").alias("n_b"))))  # a condition vocabulary
+    grid = n.select(F.col("v").alias("a"), F.col("n").alias("n_a")).crossJoin(n.select(F.col("v").alias("b"), F.col("n").alias("n_b")))  # of a condition vocabulary with itself
     out = grid.join(both, ["a", "b"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     union = F.col("n_a") + F.col("n_b") - F.col("both")
     return out.withColumn("jaccard", F.when(union == 0, F.lit(0.0)).otherwise(F.col("both") / union))
