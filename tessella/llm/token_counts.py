@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,7 @@ class WordEncoder:
     no result.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -196,7 +196,7 @@ def pieces(text: bytes, most: int) -> Iterator[bytes]:
         yield text[at:]
 
 
-def balanced(texts: list[bytes], most: int) -> Iterator[list[tuple[int, bytes]]]:
+def balanced(texts: Iterable[bytes], most: int) -> Iterator[list[tuple[int, bytes]]]:
     """Pieces in batches of about `most` bytes, each with its text's place."""
     batch, held = [], 0
     for i, text in enumerate(texts):
@@ -217,12 +217,12 @@ def counter(path: str, batch_bytes: int) -> Callable:
         measure = None
         for batch in batches:
             measure = measure or lengths(path)
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            totals = [0] * len(texts)
-            for part in balanced(texts, batch_bytes):
-                for (i, _), n in zip(part, measure([p for _, p in part]), strict=True):
+            sizes, totals = [0] * batch.num_rows, [0] * batch.num_rows
+            for part in balanced((t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)), batch_bytes):
+                for (i, piece), n in zip(part, measure([p for _, p in part]), strict=True):
+                    sizes[i] += len(piece)
                     totals[i] += n
-            yield pa.record_batch([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return count
 
@@ -247,7 +247,7 @@ def lengths(path: str) -> Callable[[list[bytes]], list[int]]:
     return lambda parts: [len(x) // 4 for x in encoder.encode(parts)]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048, batch_bytes: int = 4 << 20) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 2048, batch_bytes: int = 1 << 19) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     Texts longer than batch_bytes are cut where white space ends, which for the word tokenizer changes no count; for vocabularies whose

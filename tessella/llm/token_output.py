@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,22 +42,21 @@ class Layout:
         }
 
 
-def encoder(path: str, end_id: int, slice_bytes: int = 4 << 20):
+def encoder(path: str, end_id: int, slice_bytes: int = 1 << 19):
     """(did, text) sorted by did in each partition, to rows of the file; first_at counts the partition's ids before the row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
             words = words or word_encoder(path)
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
-            low = 0
-            while low < len(texts):
+            low, lengths = 0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            while low < len(lengths):
                 high, held = low, 0
-                while high < len(texts) and (high == low or held + len(texts[high]) <= slice_bytes):
-                    held += len(texts[high])
+                while high < len(lengths) and (high == low or held + lengths[high] <= slice_bytes):
+                    held += lengths[high]
                     high += 1
                 rows, firsts = [], []
-                for one in words.encode(texts[low:high]):
+                for one in words.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).slice(low, high - low)]):
                     rows.append(np.append(np.frombuffer(one, "<i4"), np.int32(end_id)))
                     firsts.append(at)
                     at += len(rows[-1])
