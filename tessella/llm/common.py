@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -30,19 +31,43 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, partition_by: list[str] | None = None, **options) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read again."""
+#: Rows of a narrow table that one file holds; see written.
+FILE_ROWS = 250_000
+
+
+def written(df: DataFrame, label: str, partition_by: list[str] | None = None, most_rows: int | None = None) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read again.
+
+    most_rows: a bound on the rows of a narrow table, which is then written in as few files as FILE_ROWS asks for. The last stage has as many
+    tasks, so pass it only where that stage is light.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    writer = df.write
-    for k, v in options.items():
-        writer = writer.option(k, v)
+    out = df if most_rows is None else df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
+    writer = out.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_of(table: DataFrame) -> int:
+    """Rows of a written table, from its files' footers."""
+    return table.count()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing still reads; what was made from them is written itself."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {m[1] for f in t.inputFiles() if (m := _WRITTEN.match(f))}:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_WRITTEN = re.compile(r"(.*/[a-z0-9-]+-[0-9a-f]{32})/")
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package when the driver found it by sys.path alone."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

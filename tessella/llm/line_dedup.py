@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NO_ID, SPACE, new_path, source_columns, written
+from tessella.llm.common import FILE_ROWS, NO_ID, SPACE, new_path, rows_of, source_columns, written
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Has a letter that lower() would change besides A-Z.
@@ -53,6 +53,7 @@ class LineRuns:
     spark: SparkSession
     fanout: int = 3
     levels: list[list[str]] = field(default_factory=list)
+    rows: int = 0
 
     SCHEMA = "h binary, n_docs long, owner long"
 
@@ -60,24 +61,26 @@ class LineRuns:
         paths = [p for level in self.levels for p in level]
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else None
 
-    def add(self, entries: DataFrame) -> None:
-        """entries: did, h of a batch whose ids no earlier batch has and which are all smaller."""
+    def add(self, entries: DataFrame, most: int) -> None:
+        """entries: did, h of a batch whose ids no earlier batch has and which are all smaller; most bounds their number."""
         batch = entries.groupBy("h").agg(F.count_distinct("did").alias("n_docs"), F.max("did").alias("owner"))
         held = self.runs()
         if held is not None:
             # a hash's owner lies in one run: the one that saw it first
-            batch = written(batch, "line-batch")
+            batch = written(batch, "line-batch", most_rows=most)
             seen = held.where(F.col("owner").isNotNull()).select("h")
             new = batch.join(seen.hint("merge"), "h", "left_anti")
             old = batch.join(seen.hint("merge"), "h", "left_semi").withColumn("owner", F.lit(None).cast("long"))
             batch = new.unionByName(old)
+        self.rows += most
         self._put(batch, 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         path = new_path(self.spark, f"line-run-{level}")
-        run.select("h", "n_docs", "owner").sortWithinPartitions("h").write.parquet(path)
+        files = max(1, -(-self.rows // FILE_ROWS))
+        run.select("h", "n_docs", "owner").coalesce(files).sortWithinPartitions("h").write.parquet(path)
         self.levels[level].append(path)
         if len(self.levels[level]) >= self.fanout:
             held = self.spark.read.schema(self.SCHEMA).parquet(*self.levels[level])
@@ -94,21 +97,21 @@ def merged(runs: DataFrame) -> DataFrame:
     return runs.groupBy("h").agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner"))
 
 
-def batched(entries: DataFrame, docs: DataFrame, batches: int) -> list[DataFrame]:
-    """The entries in batches of about equal documents by descending id."""
+def batched(entries: DataFrame, docs: DataFrame, batches: int) -> tuple[list[DataFrame], int]:
+    """The entries in batches of about equal documents by descending id, and how many there are in all."""
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] or []
     number = sum((F.col("did") <= F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
     table = written(entries.withColumn("batch", number), "line-entries", partition_by=["batch"])
-    return [table.where(F.col("batch") == i).drop("batch") for i in range(len(cuts) + 1)]
+    return [table.where(F.col("batch") == i).drop("batch") for i in range(len(cuts) + 1)], rows_of(table)
 
 
-def repeated_elsewhere(entries: DataFrame, totals: DataFrame, least_docs: int, most_hot: int = 50_000) -> DataFrame:
+def repeated_elsewhere(entries: DataFrame, totals: DataFrame, least_docs: int, most_hot: int = 50_000, entries_rows: int | None = None) -> DataFrame:
     """did, h of the lines to drop: held by at least least_docs documents, another one being the owner.
 
     A line that more than (entries / most_hot) documents hold is hot; there are fewer than most_hot of these, so they are broadcast. The
     others meet by a merge join, where a key has at most that many rows.
     """
-    common = written(totals.where(F.col("n_docs") >= least_docs), "line-common")
+    common = written(totals.where(F.col("n_docs") >= least_docs), "line-common", most_rows=entries_rows)
     n = common.agg(F.sum("n_docs")).first()[0] or 0
     limit = max(1000, n // most_hot)
     hot = common.where(F.col("n_docs") > limit)
@@ -127,13 +130,13 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, bat
     """
     spark = docs.sparkSession
     index = LineRuns(spark, fanout)
-    parts = batched(line_entries(docs, least_chars), docs, batches)
+    parts, n = batched(line_entries(docs, least_chars), docs, batches)
     for part in parts:
-        index.add(part)
+        index.add(part, -(-n // len(parts)))
     entries = parts[0]
     for part in parts[1:]:
         entries = entries.unionByName(part)
-    drop = repeated_elsewhere(entries, index.totals(), least_docs)
+    drop = repeated_elsewhere(entries, index.totals(), least_docs, entries_rows=n)
     lost = drop.groupBy("did").agg(F.collect_set(F.lower(F.hex("h"))).alias("lost"))
     rows = source_columns(docs, "doc_id", "text").withColumn("did", F.coalesce("doc_id", F.lit(-NO_ID))).join(lost, "did", "left")
     kept = F.filter(lines(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col("lost"), key_hash(x, least_chars)), F.lit(False)))

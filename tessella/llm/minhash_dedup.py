@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NO_ID, partitions, seeded, ship, shingle_set, source_columns, splitmix, text_bytes, written
+from tessella.llm.common import NO_ID, discard, partitions, rows_of, seeded, ship, shingle_set, source_columns, splitmix, text_bytes, written
 from tessella.llm.components import components
 
 K, T = 32, 15
@@ -252,7 +252,8 @@ def confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int, salt
     first = F.col("da") >= F.col("db")
     pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"), F.greatest("da", "db").alias("d"))
     salts = F.ceil(F.col("d") / salt_rows).cast("int")
-    pairs = written(pairs.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int")), "near-pairs")
+    pairs = pairs.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
+    pairs = written(pairs, "near-pairs", most_rows=rows_of(edges))
     own = pairs.select("hub", "salt").distinct().select(F.col("hub").alias("v"), F.struct("hub", "salt", F.lit(0).alias("first")).alias("h"))
     partners = pairs.select("v", F.struct("hub", "salt", F.lit(1).alias("first")).alias("h"))
     hubs = own.unionByName(partners).groupBy("v").agg(F.collect_list("h").alias("hubs"))
@@ -276,7 +277,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sketches = rows.mapInArrow(_sketches(width), "did long, n_shingles long, c1 long, c2 long, sig binary")
     sketches = written(sketches, "near-sketches")
     some = sketches.where("n_shingles > 0")
-    classes = written(some.groupBy("c1", "c2").agg(F.min("did").alias("rep")), "near-classes")
+    classes = written(some.groupBy("c1", "c2").agg(F.min("did").alias("rep")), "near-classes", most_rows=rows_of(sketches))
     first = some.join(classes.withColumnRenamed("rep", "did"), ["c1", "c2", "did"], "left_semi").dropDuplicates(["c1", "c2"])
     reps = written(first.select(F.col("did").alias("rep"), "sig"), "near-reps")
 
@@ -296,12 +297,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / BLOCK)).cast("int")
     dealt = prefix.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     in_blocks = dealt.select("key", "block", "rep", "small").repartition(n, "key", "block").sortWithinPartitions("key", "block", "rep")
-    star = written(in_blocks.mapInArrow(_stars(LEAST), "a long, b long").distinct(), "near-stars")
+    star = written(in_blocks.mapInArrow(_stars(LEAST), "a long, b long").distinct(), "near-stars", most_rows=rows_of(prefix))
     links = written(confirmed(star, texts, width, percent), "near-links")
-    comps = components(links).withColumnRenamed("v", "rep")
+    comps = components(links, 2 * rows_of(links)).withColumnRenamed("v", "rep")
 
     dealt = dealt.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    dealt = written(dealt, "near-dealt")
+    dealt = written(dealt, "near-dealt", most_rows=rows_of(prefix))
     mixed = dealt.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     met = dealt.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "small", "keys")
@@ -316,7 +317,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # an id with rows in several classes ties their representatives
     ids = some.join(classes, ["c1", "c2"]).select("did", "rep").distinct()
     ties = ids.groupBy("did").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
-    comps = written(components(links.unionByName(ties)), "near-comps")
+    comps = components(links.unionByName(ties), 2 * (rows_of(links) + rows_of(sketches)))
+    discard(reps, prefix, texts, star, dealt, left)
     named = ids.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("did", F.coalesce("component", "rep").alias("first")).distinct()
     out = sketches.select("did", "n_shingles").join(named, "did", "left")
     known = lambda c: F.when(c != NO_ID, c)
