@@ -73,7 +73,7 @@ class WordEncoder:
     no result.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -247,7 +247,7 @@ def lengths(path: str) -> Callable[[list[bytes]], list[int]]:
     return lambda parts: [len(x) // 4 for x in encoder.encode(parts)]
 
 
-def token_counts(docs: DataFrame, path: str, limit: int = 2048, batch_bytes: int = 1 << 19) -> DataFrame:
+def token_counts(docs: DataFrame, path: str, limit: int = 2048, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     Texts longer than batch_bytes are cut where white space ends, which for the word tokenizer changes no count; for vocabularies whose

@@ -42,7 +42,7 @@ class Layout:
         }
 
 
-def encoder(path: str, end_id: int, slice_bytes: int = 1 << 19):
+def encoder(path: str, end_id: int, slice_bytes: int = 1 << 20):
     """(did, text) sorted by did in each partition, to rows of the file; first_at counts the partition's ids before the row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
