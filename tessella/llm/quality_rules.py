@@ -5,6 +5,9 @@ each stratum (language), rule and cutoff, an exact binomial test of "the rule re
 whether the cutoff is safe, at level delta divided by the number of all such tests (Bonferroni). The strictest safe cutoff is used; a rule
 without one rejects nothing in that stratum. So with probability 1 - delta no stratum loses more than len(RULES) * risk of its good
 documents to the rules.
+
+A stratum with too few labels to certify anything, whatever they say, can use cutoffs certified on the labels of all strata together
+(pooled); its own labels can still rule one out. For such strata the bound holds over all strata together, not for each.
 """
 
 from __future__ import annotations
@@ -103,24 +106,36 @@ def binomial_below(n: Column, k: Column, p: float) -> Column:
     return F.when(k < 1, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), first, step, lambda a: a["s"]))
 
 
-def thresholds(scores: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
-    """stratum, and the cutoff of each rule (null: off). scores: doc_id, stratum, m. A row for each stratum comes out.
+def thresholds(scores: DataFrame, labels: DataFrame, risk: float, delta: float, pooled: bool = False) -> DataFrame:
+    """stratum, and the cutoff of each rule (null: off). scores: doc_id, stratum, m. A row for each stratum with labels comes out.
 
-    Documents with any label of good quality are good; labels without id or quality are left out.
+    Documents with any label of good quality are good; labels without id or quality are left out. pooled: a row for each stratum of scores
+    comes out, and those where even no rejected good document would not certify a cutoff take the strictest one that is certified on all
+    strata together and beyond which no more than `risk` of their own good documents lie. The pool's tests count among all tests.
     """
     good = source_columns(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1")
     held = scores.where(~F.col("m.base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
+    cells = [f"{r}_{i}" for r, grid in RULES.items() for i in range(len(grid))]
     sums = [F.sum((F.col(f"m.{r}") > c).cast("long")).alias(f"{r}_{i}") for r, grid in RULES.items() for i, c in enumerate(grid)]
     counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
-    tests = F.count(F.lit(1)).over(_whole()) * sum(map(len, RULES.values()))
+    if pooled:
+        strata = scores.select(F.col("stratum").alias("s")).distinct()
+        counts = strata.join(counts, F.col("s").eqNullSafe(F.col("stratum")), "left").select(F.col("s").alias("stratum"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", *cells)])
+        counts = counts.select("*", *[F.sum(c).over(_whole()).alias(f"pool_{c}") for c in ("n", *cells)])
+    tests = (F.count(F.when(F.col("n") > 0, 1)).over(_whole()) + int(pooled)) * len(cells)
     counts = counts.withColumn("level", F.log(F.lit(delta) / tests))
 
+    def safe(cell: str, of: str = "") -> Column:
+        n, k = F.col(f"{of}n"), F.col(f"{of}{cell}")
+        return (k <= n * risk) & (binomial_below(n, k, risk) <= F.col("level"))
+
     def cutoff(rule: str) -> Column:
-        safe = [
-            F.when((F.col(f"{rule}_{i}") <= F.col("n") * risk) & (binomial_below(F.col("n"), F.col(f"{rule}_{i}"), risk) <= F.col("level")), F.lit(c))
-            for i, c in enumerate(RULES[rule])
-        ]
-        return F.coalesce(*safe)
+        cuts = [(f"{rule}_{i}", c) for i, c in enumerate(RULES[rule])]
+        own = F.coalesce(*[F.when(safe(cell), F.lit(c)) for cell, c in cuts])
+        if not pooled:
+            return own
+        shared = F.coalesce(*[F.when(safe(cell, "pool_") & (F.col(cell) <= F.col("n") * risk), F.lit(c)) for cell, c in cuts])
+        return F.when(binomial_below(F.col("n"), F.lit(0), risk) > F.col("level"), shared).otherwise(own)
 
     return counts.select(F.col("stratum").alias("s"), *[cutoff(r).alias(f"cut_{r}") for r in RULES])
 
@@ -132,7 +147,7 @@ def _whole():
 
 
 def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds kept: not base_failed and no rule's score beyond its stratum's cutoff. Strata without labels have no rules."""
+    """Adds kept: not base_failed and no rule's score beyond its stratum's cutoff. Strata without a row in cuts have no rules."""
     beyond = F.lit(False)
     for r in RULES:
         beyond = beyond | F.coalesce(F.col(f"m.{r}") > F.col(f"cut_{r}"), F.lit(False))
@@ -140,27 +155,27 @@ def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("m.base_failed") & ~beyond).drop("s", *[f"cut_{r}" for r in RULES])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.004, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.004, delta: float = 0.05, pooled: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum and kept of every row.
 
     Null or empty text: all counts 0, base_failed. The stratum is lang (null is one). Repeated rows are judged one by one; where ids
     repeat, each labelled row counts in the holdout. Empty documents: empty result; empty labels: only the base rules. One pass over the
-    texts; narrow rows meet the labels, and a few counts for each stratum decide.
+    texts; narrow rows meet the labels, and a few counts for each stratum decide. pooled: see thresholds; the query's SQL is without it.
     """
     from tessella.llm.common import written
 
     rows = measured(source_columns(docs, "doc_id", "text", "lang")).select("doc_id", F.col("lang").alias("stratum"), "m")
     rows = written(rows, "quality")
-    out = judged(rows, thresholds(rows, labels, risk, delta))
+    out = judged(rows, thresholds(rows, labels, risk, delta, pooled))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return out.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names], "stratum", "kept")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.004, delta: float = 0.05) -> DataFrame:
-    """The documents that the rules keep, same columns. Texts are measured once and written with their scores; no text is shuffled."""
+def good_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.004, delta: float = 0.05, pooled: bool = True) -> DataFrame:
+    """The documents that the rules keep, same columns; small strata use the pool's cutoffs. Texts are measured once and written with their scores; no text is shuffled."""
     from tessella.llm.common import written
 
     rows = measured(docs.select(F.struct("*").alias("row"), F.col("text"))).drop("text").withColumn("stratum", F.col("row.lang"))
     rows = written(rows, "quality")
     scores = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "m")
-    return judged(rows, thresholds(scores, labels, risk, delta)).where("kept").select("row.*")
+    return judged(rows, thresholds(scores, labels, risk, delta, pooled)).where("kept").select("row.*")

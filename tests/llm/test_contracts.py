@@ -87,6 +87,23 @@ def test_quality_thresholds_hold_their_risk(spark):
     assert math.isclose(got.x, exact, rel_tol=1e-9) and math.isclose(got.y, (1 - p) ** n, rel_tol=1e-9)
 
 
+def test_small_strata_use_cutoffs_of_all_labels(spark):
+    """A language with few labels loses its junk by the pool's cutoffs, but not where its own labelled good documents lie beyond them."""
+    from tessella.llm import quality_rules as Q
+
+    plain = lambda i: " ".join(f"word{(i * 31 + k) % 97}" for k in range(30))
+    junk = " ".join(f"w{k}###" for k in range(30))
+    rows = [(i, plain(i), "en") for i in range(2500)] + [(10_000 + i, plain(i), "fr") for i in range(40)] + [(20_000, junk, "en"), (20_001, junk, "fr"), (20_002, junk, "es"), (20_003, junk, None)]
+    odd = " ".join(f"mot{k}##" for k in range(30))
+    rows += [(30_000 + i, odd, "xx") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, _, _ in rows if d < 20_000 or 30_000 <= d < 30_003], "doc_id long, quality int")
+    kept = {r.doc_id for r in Q.good_documents(docs, labels).select("doc_id").collect()}
+    assert kept == {d for d, _, _ in rows if not 20_000 <= d < 30_000}
+    alone = {r.doc_id for r in Q.quality_rules(docs, labels).where("kept").select("doc_id").collect()}
+    assert alone == {d for d, _, _ in rows if d != 20_000}
+
+
 def test_suffix_dedup(spark, corpus):
     from tessella.llm.suffix_dedup import repeated_bytes
 
