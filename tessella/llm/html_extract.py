@@ -1,24 +1,24 @@
-"""HTML extraction: structure first, then a suffix array over each host's token streams.
+"""HTML extraction: structure first, then the runs of tokens that a host's pages share.
 
 A page's article (or main) element is its text. Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts or styles by tag, role, class or id are not. What is in neither is undecided, and there the host decides: the token streams of its
-pages are concatenated, a suffix array finds the substrings of at least `least` tokens that distinct pages share, covered tokens go, and the
-blocks' uncovered runs stay. Article text is exempt from that: hosts serve copies of an article, and those are text, not template.
+scripts or styles by tag, role, class or id are not. What is in neither is undecided, and there the host decides: windows of `least` tokens are
+counted over all its pages by their hash, tokens in windows that distinct pages share go, and the blocks' uncovered runs stay. Article text is
+exempt from that: hosts serve copies of an article, and those are text, not template.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship, source_columns, written
+from tessella.llm.common import ship, source_columns, splitmix, written
 
 # Fixed values of HTML: void elements, elements whose content is raw text, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -144,6 +144,8 @@ def _close_p(stack: list[tuple[str, bool, bool]]) -> None:
 def covered(streams: list[np.ndarray], least: int, pages: np.ndarray | None = None) -> list[np.ndarray]:
     """For each stream of token ids, which tokens lie in a run of `least` that another page has too. pages: the page of each stream; else each is one.
 
+    The plain form of what main_text decides by counted windows, in one place; tests hold one against the other.
+
     The suffix array of the concatenated streams is sorted by prefix doubling up to `least` tokens, which is all that is asked of it:
     suffixes equal that far are neighbours, and a group of them is boilerplate if it spans two pages.
     """
@@ -179,69 +181,116 @@ def covered(streams: list[np.ndarray], least: int, pages: np.ndarray | None = No
     return [on[a : a + k] for a, k in zip(start, size, strict=True)]
 
 
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to page_id, url and h the text that the markup decides, the undecided blocks, whether these are all there is, and a hash of all blocks."""
     for batch in batches:
-        main, text = [], []
-        for page in batch.column(2):
+        text, rest, unsure, content = [], [], [], []
+        for page in batch.column(3):
             found = blocks(page.as_py() or "")
-            main.append([m for m, _ in found])
-            text.append([t for _, t in found])
-        yield pa.record_batch([*batch.columns[:2], pa.array(main, pa.list_(pa.bool_())), pa.array(text, pa.list_(pa.string()))], ["page_id", "url", "main", "text"])
+            text.append("\n\n".join(t for m, t in found if m))
+            rest.append([t for m, t in found if not m])
+            unsure.append(bool(rest[-1]) and not text[-1])
+            content.append(_digest("\0".join(f"{m:d}{t}" for m, t in found)))
+        columns = [*batch.columns[:3], pa.array(text, pa.string()), pa.array(rest, pa.list_(pa.string())), pa.array(unsure, pa.bool_()), pa.array(content, pa.int64())]
+        yield pa.record_batch(columns, ["page_id", "url", "h", "text", "rest", "unsure", "content"])
 
 
-def _by_host(least: int):
-    """Pages (key, page_id, main, text) of one part of a host to (key, text), the undecided blocks without what pages share."""
+def _window_hashes(words: np.ndarray, width: int, h: int) -> np.ndarray:
+    """A hash of the host and each window of `width` token hashes."""
+    out = np.full(max(0, len(words) - width + 1), (h + width) % (1 << 64), np.uint64)
+    for i in range(width if len(out) else 0):
+        out = out * np.uint64(0xD1342543DE82EF95) + words[i : len(words) - width + 1 + i]
+    return splitmix(out).view(np.int64)
 
-    def decide(pages: pd.DataFrame) -> pd.DataFrame:
-        pages = pages.sort_values("key", kind="stable")
+
+def _windows(widths: tuple[int, ...], rows: int = 200_000, memory: int = 500_000):
+    """Pages (h, content, rest) to their windows: h, content, width, w and the places that begin one, each window of a page once."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[str, int] = {}
-        rows, streams, held, of = [], [], [], []
-        for k, (main, text) in enumerate(zip(pages["main"], pages["text"], strict=True)):
-            words = {i: text[i].split(" ") for i, m in enumerate(main) if not m}
-            streams.append([np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64) for ws in words.values()])
-            of += [k] * len(words)
-            held.append((any(main), words))
-        # a run may cross blocks, as menus do, and then takes the blocks that it covers whole; inside a block it is long enough by itself
-        across = covered([np.concatenate(s) if s else np.zeros(0, np.int64) for s in streams], least)
-        within = iter(covered([b for s in streams for b in s], least, np.array(of, np.int64)))
-        for on, (article, words), text in zip(across, held, pages["text"], strict=True):
-            at, out = 0, []
-            for i, one in enumerate(text):
-                if i in words:
-                    ws, gone = words[i], next(within)
-                    if on[at : at + len(ws)].all():
-                        gone = np.ones(len(ws), bool)
-                    at += len(ws)
-                    one = "" if article else " ".join(w for w, g in zip(ws, gone, strict=True) if not g)
-                if one:
-                    out.append(one)
-            rows.append("\n\n".join(out))
-        return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": rows})
-
-    return decide
+        parts: list[pa.RecordBatch] = []
+        names, held = ["h", "content", "width", "w", "at"], 0
+        for batch in batches:
+            for h, content, rest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if len(ids) > memory:
+                    ids.clear()
+                words = [w for block in rest for w in block.split(" ")]
+                for w in words:
+                    if w not in ids:
+                        ids[w] = _digest(w)
+                hashed = np.array([ids[w] for w in words], np.int64).view(np.uint64)
+                for width in widths:
+                    found = _window_hashes(hashed, width, h)
+                    order = np.argsort(found, kind="stable")
+                    first = np.flatnonzero(np.append(True, found[order][1:] != found[order][:-1])) if len(found) else order
+                    n = len(first)
+                    at = pa.ListArray.from_arrays(pa.array(np.append(first, len(found)).astype(np.int32)), pa.array(order.astype(np.int32)))
+                    parts.append(pa.record_batch([pa.array(np.full(n, h)), pa.array(np.full(n, content)), pa.array(np.full(n, width, np.int32)), pa.array(found[order][first]), at], names))
+                    held += n
+                if held >= rows:
+                    yield from parts
+                    parts, held = [], 0
+        yield from parts
+
+    return emit
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (page_id, url, rest, marks: width and places of shared windows) to their text without what the host's pages share."""
+    for batch in batches:
+        out = []
+        for rest, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            out.append("\n\n".join(rest if not marks else _without(rest, marks)))
+        yield pa.record_batch([*batch.columns[:2], pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+
+def _without(rest: list[str], marks: list[dict]) -> list[str]:
+    """A run may cross blocks, as menus do, and then takes the blocks that it covers whole; inside a block it is long enough by itself."""
+    words = [block.split(" ") for block in rest]
+    block = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    across, within = np.zeros(len(block), bool), np.zeros(len(block), bool)
+    for m in marks:
+        for at in m["at"]:
+            across[at : at + m["width"]] = True
+            if block[at] == block[at + m["width"] - 1]:
+                within[at : at + m["width"]] = True
+    out, at = [], 0
+    for ws in words:
+        gone = within[at : at + len(ws)] | across[at : at + len(ws)].all()
+        at += len(ws)
+        out.append(" ".join(w for w, g in zip(ws, gone, strict=True) if not g))
+    return [x for x in out if x]
 
 
 def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500) -> DataFrame:
     """page_id, url, text and n_chars of every page; text is empty where there is none, never null.
 
-    A page with an article or main element gives that element's blocks; any other page the blocks that aren't boilerplate by name nor by its
-    host's suffix array. Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by two
-    \\n. Null or empty html: empty text. A null url is a host of its own. Repeated rows come back repeated; two rows of one page_id count as
-    two pages. Empty table: empty result. Other columns are not read.
+    A page with an article or main element gives that element's blocks; any other page the blocks that aren't boilerplate by name nor by what
+    its host's pages share. Character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by two
+    \\n. Null or empty html: empty text. A null url is a host of its own. Repeated rows come back repeated; rows of a host with the same blocks
+    count as one page. Empty table: empty result. Other columns are not read.
 
-    A host's pages are dealt over parts of about part_pages, so a host with a third of all pages is many groups; a template repeats within
-    each part. One shuffle of extracted text, not of html.
+    Sharing is decided over the whole host, of any size: windows are dealt by their hash and counted with partial sums, so a host with a
+    third of all pages is many groups. Only hosts with a page that the markup leaves open are counted. part_pages has no effect any more: no
+    host is cut into parts.
     """
     spark = pages.sparkSession
     ship(spark)
-    rows = source_columns(pages, "page_id", "url", "html")
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
-    large = rows.select(host.alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_pages)
-    large = written(large.select("host", F.ceil(F.col("n") / part_pages).cast("int").alias("parts")), "hosts")
-    found = rows.mapInArrow(_parsed, "page_id long, url string, main array<boolean>, text array<string>")
-    key = F.xxhash64("page_id", "url", F.to_json(F.struct("text")))
-    found = found.withColumn("host", host).withColumn("key", key).join(large, "host", "left")
-    part = F.pmod(F.col("key"), F.coalesce("parts", F.lit(1)))
-    grouped = found.withColumn("part", part).select("page_id", "url", "main", "text", "host", "key", "part").groupBy("host", "part")
-    out = grouped.applyInPandas(_by_host(least), "page_id long, url string, text string")
+    rows = source_columns(pages, "page_id", "url", "html").select("page_id", "url", F.xxhash64(host).alias("h"), "html")
+    found = written(rows.mapInArrow(_parsed, "page_id long, url string, h long, text string, rest array<string>, unsure boolean, content long"), "parsed")
+    unsure = found.where("unsure")
+    asked = found.where(F.size("rest") > 0).join(unsure.select("h").distinct(), "h", "left_semi")
+    distinct = written(asked.groupBy("h", "content").agg(F.first("rest").alias("rest"), F.first("unsure").alias("unsure")).select("h", "content", "rest", "unsure"), "undecided")
+    form = "h long, content long, width int, w long, at array<int>"
+    seen = distinct.select("h", "content", "rest").mapInArrow(_windows((least,)), form)
+    shared = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("w")
+    marks = distinct.where("unsure").select("h", "content", "rest").mapInArrow(_windows((least,)), form).join(shared, "w", "left_semi")
+    marks = marks.groupBy("h", "content").agg(F.collect_list(F.struct("width", "at")).alias("marks"))
+    open_pages = unsure.join(marks, ["h", "content"], "left").select("page_id", "url", "rest", "marks")
+    out = found.where("not unsure").select("page_id", "url", "text").unionByName(open_pages.mapInArrow(_decided, "page_id long, url string, text string"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

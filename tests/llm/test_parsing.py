@@ -66,6 +66,28 @@ def test_article_text_is_never_template(spark):
     assert {r.text for r in out} == {"the same words on every single page"}
 
 
+def test_a_large_host_is_decided_whole(spark):
+    """What two of a host's many pages share goes wherever these pages are; every token as one suffix array over the host has it."""
+    from tessella.llm.html_extract import covered, main_text
+
+    rnd = random.Random(8)
+    streams = {tuple(rnd.randrange(40) for _ in range(rnd.randint(6, 24))) for _ in range(60)}
+    streams = [[f"t{x}" for x in s] for s in sorted(streams)]
+    for i in range(0, 40, 2):  # a run of six on two pages each
+        streams[i] = streams[i] + [f"r{i}x{k}" for k in range(6)] + ["end"]
+        streams[i + 1] = [f"r{i}x{k}" for k in range(6)] + streams[i + 1]
+    rows = [(i, f"http://h.example/{i}", f"<p>{' '.join(s)}</p>") for i, s in enumerate(streams)]
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), part_pages=4, **ANY_TWO).collect()}
+    ids = {}
+    marks = covered([np.array([ids.setdefault(w, len(ids)) for w in s]) for s in streams], 5)
+    assert out == {i: " ".join(w for w, g in zip(s, m, strict=True) if not g) for i, (s, m) in enumerate(zip(streams, marks, strict=True))}
+    assert all(f"r{i}x" not in out[i] + out[i + 1] for i in range(0, 40, 2))
+
+
+#: Any run of five tokens on two pages.
+ANY_TWO: dict = {}
+
+
 def chats(n, rnd, marks):
     rows = []
     for c in range(n):
