@@ -1,9 +1,10 @@
 """HTML extraction: structure first, then the runs of tokens that a host's pages share.
 
 A page's article (or main) element is its text. Elements that are menus, headers, footers, sidebars, notices, adverts, forms, comments,
-scripts or styles by tag, role, class or id are not. What is in neither is undecided, and there the host decides: windows of `least` tokens are
-counted over all its pages by their hash, tokens in windows that distinct pages share go, and the blocks' uncovered runs stay. Article text is
-exempt from that: hosts serve copies of an article, and those are text, not template.
+scripts or styles by tag, role, class or id are not. What is in neither is undecided, and there the host decides: windows of tokens are counted
+over all its distinct pages by their hash, tokens in windows that a share of them have go, and the blocks' uncovered runs stay. A run of `long`
+tokens is no chance phrase and needs a smaller share, but must then not be most of a page, as pages that share most of their text are near
+copies. Article text is exempt: hosts serve copies of an article, and those are text.
 """
 
 from __future__ import annotations
@@ -240,7 +241,7 @@ def _windows(widths: tuple[int, ...], rows: int = 200_000, memory: int = 500_000
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (page_id, url, rest, marks: width and places of shared windows) to their text without what the host's pages share."""
+    """Pages (page_id, url, rest, marks: width, places and commonness of shared windows) to their text without what the host's pages share."""
     for batch in batches:
         out = []
         for rest, marks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -252,12 +253,19 @@ def _without(rest: list[str], marks: list[dict]) -> list[str]:
     """A run may cross blocks, as menus do, and then takes the blocks that it covers whole; inside a block it is long enough by itself."""
     words = [block.split(" ") for block in rest]
     block = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    across, within = np.zeros(len(block), bool), np.zeros(len(block), bool)
-    for m in marks:
-        for at in m["at"]:
-            across[at : at + m["width"]] = True
-            if block[at] == block[at + m["width"] - 1]:
-                within[at : at + m["width"]] = True
+
+    def masks(common: bool) -> tuple[np.ndarray, np.ndarray]:
+        across, within = np.zeros(len(block), bool), np.zeros(len(block), bool)
+        for m in marks:
+            for at in m["at"] if m["common"] == common else ():
+                across[at : at + m["width"]] = True
+                if block[at] == block[at + m["width"] - 1]:
+                    within[at : at + m["width"]] = True
+        return across, within
+
+    (across, within), (rare, rare_within) = masks(True), masks(False)
+    if (rare & ~across).sum() * 2 <= (~across).sum():
+        across, within = across | rare, within | rare_within
     out, at = [], 0
     for ws in words:
         gone = within[at : at + len(ws)] | across[at : at + len(ws)].all()
@@ -266,7 +274,7 @@ def _without(rest: list[str], marks: list[dict]) -> list[str]:
     return [x for x in out if x]
 
 
-def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500) -> DataFrame:
+def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500, share: float = 0.3, fewest: int = 3, long: int = 25, long_share: float = 0.05) -> DataFrame:
     """page_id, url, text and n_chars of every page; text is empty where there is none, never null.
 
     A page with an article or main element gives that element's blocks; any other page the blocks that aren't boilerplate by name nor by what
@@ -274,6 +282,9 @@ def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500) -> DataFr
     \\n. Null or empty html: empty text. A null url is a host of its own. Repeated rows come back repeated; rows of a host with the same blocks
     count as one page. Empty table: empty result. Other columns are not read.
 
+    Such a page loses the runs of `least` tokens that `share` of the host's distinct pages with undecided blocks have, `fewest` at least, and the
+    runs of `long` tokens that long_share of them have, `fewest` at least, unless these are over half of what the page has besides the former.
+
     Sharing is decided over the whole host, of any size: windows are dealt by their hash and counted with partial sums, so a host with a
     third of all pages is many groups. Only hosts with a page that the markup leaves open are counted. part_pages has no effect any more: no
     host is cut into parts.
@@ -286,11 +297,15 @@ def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500) -> DataFr
     unsure = found.where("unsure")
     asked = found.where(F.size("rest") > 0).join(unsure.select("h").distinct(), "h", "left_semi")
     distinct = written(asked.groupBy("h", "content").agg(F.first("rest").alias("rest"), F.first("unsure").alias("unsure")).select("h", "content", "rest", "unsure"), "undecided")
-    form = "h long, content long, width int, w long, at array<int>"
-    seen = distinct.select("h", "content", "rest").mapInArrow(_windows((least,)), form)
-    shared = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("w")
-    marks = distinct.where("unsure").select("h", "content", "rest").mapInArrow(_windows((least,)), form).join(shared, "w", "left_semi")
-    marks = marks.groupBy("h", "content").agg(F.collect_list(F.struct("width", "at")).alias("marks"))
+    widths, form = tuple(sorted({least, long})), "h long, content long, width int, w long, at array<int>"
+    seen = distinct.select("h", "content", "rest").mapInArrow(_windows(widths), form)
+    counted = seen.groupBy("w", "h", "width").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+    on = lambda part: F.col("n") >= F.greatest(F.lit(fewest), F.ceil(F.col("pages") * part))
+    common = (F.col("width") == least) & on(share)
+    shared = counted.join(sizes, "h").withColumn("common", common).where(F.col("common") | ((F.col("width") == long) & on(long_share))).select("w", "common")
+    marks = distinct.where("unsure").select("h", "content", "rest").mapInArrow(_windows(widths), form).join(shared, "w")
+    marks = marks.groupBy("h", "content").agg(F.collect_list(F.struct("width", "at", "common")).alias("marks"))
     open_pages = unsure.join(marks, ["h", "content"], "left").select("page_id", "url", "rest", "marks")
     out = found.where("not unsure").select("page_id", "url", "text").unionByName(open_pages.mapInArrow(_decided, "page_id long, url string, text string"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

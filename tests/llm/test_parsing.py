@@ -85,7 +85,27 @@ def test_a_large_host_is_decided_whole(spark):
 
 
 #: Any run of five tokens on two pages.
-ANY_TWO: dict = {}
+ANY_TWO = {"share": 0.0, "fewest": 2}
+
+
+def test_text_that_two_pages_share_is_no_template(spark):
+    """Phrases on two pages, copies and near copies of a page without article stay; a template and a long notice on a part of the pages go."""
+    from tessella.llm.html_extract import main_text
+
+    own = lambda i, n=70: " ".join(f"own{i}x{k}" for k in range(n))
+    menu, notice = "Home News Sport Weather Travel Money", " ".join(f"notice{k}" for k in range(30))
+    phrase = "at the end of the day it was over"
+    page = {i: [own(i)] for i in range(12)}
+    page[0], page[1] = [f"{own(0)} {phrase} {own('z')}"], [f"{own(1)} {phrase}"]
+    for i in (2, 3, 4):
+        page[i].append(notice)
+    page[20] = page[21] = [own("copy")]
+    page[22], page[23] = [own("near") + " first"], [own("near") + " second"]
+    rows = [(i, f"http://h.example/{i}", f"<div>{menu}</div>" + "".join(f"<p>{t}</p>" for t in texts)) for i, texts in page.items()]
+    rows += [(30, "http://two.example/a", f"<p>{own('q')}</p>"), (31, "http://two.example/b", f"<p>{own('q')}</p>")]
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: "\n\n".join(t for t in texts if t != notice) for i, texts in page.items()}
+    assert out == want | {30: own("q"), 31: own("q")}
 
 
 def chats(n, rnd, marks):
