@@ -6,22 +6,21 @@ columns of documents. Between stages the rows are written as Parquet and read ag
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ship, table, written
+from tessella.llm.common import row_ids, ship, table, written
 from tessella.llm.decontaminate import contaminated_pairs
-from tessella.llm.minhash_dedup import near_duplicates
+from tessella.llm.minhash_dedup import near_rows
 from tessella.llm.mixture import mixed_documents
 from tessella.llm.quality_rules import good_documents
 from tessella.llm.queries import tokenizer_path
 from tessella.llm.token_output import token_output
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose id is (left_semi) or isn't (left_anti) in ids; null matches null; columns of any name stay."""
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(ids.select(F.col("doc_id").alias("id")), F.col("row.doc_id").eqNullSafe(F.col("id")), how).select("row.*")
+def _by_id(docs: DataFrame, ids: Column, found: DataFrame, how: str) -> DataFrame:
+    """Rows of docs whose id in the column ids is (left_semi) or isn't (left_anti) in found; columns of any name stay."""
+    return docs.select(F.struct("*").alias("row"), ids.alias("id")).join(found.select(F.col("did").alias("id")), "id", how).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest id (shingles of five words, similarity 0.8 or more)."""
-    ship(spark)
-    return _by_id(docs, near_duplicates(docs).where("kept").select("doc_id"), "left_semi")
+    """One document of each group of near copies: the smallest id (shingles of five words, similarity 0.8 or more). Null ids are told by text."""
+    ids, _ = row_ids(docs)
+    return _by_id(docs, ids, near_rows(docs.select(ids.alias("did"), "text")).where("first = did"), "left_semi")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item, whole or by half or more of its words in any order."""
-    return _by_id(docs, contaminated_pairs(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "left_anti")
+    """Documents that hold no test item, whole or by half or more of its words in any order. Null ids are told by text."""
+    ids, _ = row_ids(docs)
+    pairs = contaminated_pairs(docs.select(ids.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return _by_id(docs, ids, pairs.select(F.col("doc_id").alias("did")).distinct(), "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

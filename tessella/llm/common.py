@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside the operators, so that null ids order last.
@@ -89,6 +89,17 @@ def source_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def row_ids(docs: DataFrame) -> tuple[Column, int]:
+    """A column over docs: doc_id, or where that is null an id from the text's hash above all others; and the least id of that kind.
+
+    Rows without an id are one only where their texts are equal. Only the column doc_id is read for it.
+    """
+    top = docs.agg(F.max("doc_id")).first()[0]
+    least = min(max(-1 if top is None else top, -1) + 1, NO_ID)
+    hashed = F.lit(least).cast("long") + F.pmod(F.xxhash64("text"), F.lit(max(1, NO_ID - least)).cast("long"))
+    return F.coalesce(F.col("doc_id").cast("long"), hashed), least
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64."""
     x = x ^ (x >> np.uint64(30))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import NO_ID, discard, partitions, rows_of, seeded, ship, shingle_set, source_columns, splitmix, text_bytes, written
+from tessella.llm.common import discard, partitions, row_ids, rows_of, seeded, ship, shingle_set, source_columns, splitmix, text_bytes, written
 from tessella.llm.components import components
 
 K, T = 32, 15
@@ -267,13 +267,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Words are [^\\x20\\x09-\\x0D]+, A-Z lower-cased; a row's set is its distinct shingles of `width` words (fewer words: all of them as one).
     Rows with 100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable, kept whether it is the
-    row's own. Null, empty and blank texts have no shingles and link to nothing. Rows of one doc_id are one vertex with all their links. A
-    null id orders last: it is nobody's component_id but its own, which then is null. Empty table: empty result. Other columns are not read.
+    row's own. Null, empty and blank texts have no shingles and link to nothing. Rows of one doc_id are one vertex with all their links. Rows
+    without an id are one vertex where their texts are equal and else apart; they order last, so that a component of nothing else has a null
+    component_id, and one of its texts is kept. Empty table: empty result. Other columns are not read.
     """
-    spark = docs.sparkSession
+    docs = source_columns(docs, "doc_id", "text")
+    ids, least = row_ids(docs)
+    known = lambda c: F.when(F.col(c) < least, F.col(c))
+    out = near_rows(docs.select(ids.alias("did"), "text"), width, percent)
+    return out.select(known("did").alias("doc_id"), "n_shingles", known("first").alias("component_id"), (F.col("first") == F.col("did")).alias("kept"))
+
+
+def near_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """did, n_shingles and first, the smallest did reachable, of every row (did, text); did is never null. See near_duplicates."""
+    spark = rows.sparkSession
     ship(spark)
     n = partitions(spark)
-    rows = source_columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "text")
     sketches = rows.mapInArrow(_sketches(width), "did long, n_shingles long, c1 long, c2 long, sig binary")
     sketches = written(sketches, "near-sketches")
     some = sketches.where("n_shingles > 0")
@@ -321,9 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     discard(reps, prefix, texts, star, dealt, left)
     named = ids.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("did", F.coalesce("component", "rep").alias("first")).distinct()
     out = sketches.select("did", "n_shingles").join(named, "did", "left")
-    known = lambda c: F.when(c != NO_ID, c)
-    first = F.coalesce(F.col("first"), F.col("did"))
-    return out.select(known(F.col("did")).alias("doc_id"), "n_shingles", known(first).alias("component_id"), (first == F.col("did")).alias("kept"))
+    return out.select("did", "n_shingles", F.coalesce("first", "did").alias("first"))
 
 
 def _low_bytes(sig: str):

@@ -232,6 +232,18 @@ def test_near_duplicates_repeated_ids(spark):
     assert {(r.component_id, r.kept) for r in out if r.doc_id in (8, 9)} == {(8, True), (9, True)}
 
 
+def test_rows_without_id_are_told_by_text(spark):
+    """A row without id that copies another neither takes other rows without id along nor ties what they copy."""
+    from tessella.llm.minhash_dedup import near_duplicates
+
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(5, text("a")), (9, text("b")), (None, text("a")), (None, text("b")), (None, text("c")), (None, text("d")), (None, text("d") + " more"), (None, None)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out if r.doc_id) == [(5, 5, True), (9, 9, True)]
+    lost = sorted((r.component_id or 0, r.kept) for r in out if r.doc_id is None)
+    assert lost == [(0, False), (0, True), (0, True), (0, True), (5, False), (9, False)]
+
+
 def encoder():
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -60,3 +60,16 @@ def test_nulls_and_further_columns_pass_every_stage(spark):
     for _, stage in P.STAGES:
         docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
         assert stage(spark, docs, SF).collect() == []
+
+
+def test_rows_without_id_stand_alone(spark):
+    """A row without id that copies a document or holds a test item goes; the others without id stay."""
+    stage = dict(P.STAGES)
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()), key=len)
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(5, text("a"), "en"), (None, text("a"), "fr"), (None, text("b"), "en"), (None, "so " + item, "en"), (None, text("c"), None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, did string")
+    single = stage["near_dedup"](spark, docs, SF)
+    assert single.columns == docs.columns and {r[1:3] for r in single.collect()} == {r[1:3] for r in rows} - {rows[1][1:3]}
+    clean = stage["decontaminate"](spark, single, SF)
+    assert clean.columns == docs.columns and {(r[0], r[1]) for r in clean.collect()} == {r[:2] for r in (rows[0], rows[2], rows[4])}
