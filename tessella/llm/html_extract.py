@@ -28,32 +28,42 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-# Elements that are never a page's text, and the names that say so in class, id and role.
+# Elements that are never a page's text, and the names that say so: a whole token of class or id, or a role. Inside an article fewer names do.
 DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input label menu nav noscript object option script select style svg template textarea title".split())
 NAMES = frozenset(
-    "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies "
-    "disclaimer discussion disqus footer form masthead menu menubar modal nav navbar navigation newsletter notice notices overlay popup promo promoted reader-comments "
-    "related replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments consent cookie cookies cookie-banner cookie-notice "
+    "disclaimer discussion disqus footer main-nav masthead menu menubar modal nav navbar navigation newsletter notice notices overlay page-footer page-header popup promo "
+    "promoted reader-comments related replies respond search-form share sharing sidebar signup site-footer site-header site-nav social sponsor sponsored subscribe toolbar "
+    "topbar widget".split()
 )
-#: A header is a page's header unless it is inside the article.
-MAIN = ("article", "main")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+INSIDE = frozenset("ad ads advert adverts advertisement advertising comments cookie-banner cookie-notice menu nav navigation newsletter notices reader-comments sidebar".split())
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+MAIN = ("main", "article")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""([^\s"'/=>][^\s/=>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_ASKED = re.compile(r"class|id|role|hidden", re.I)
 _SPACES = re.compile(r"\s+")
 _P_CLOSERS = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 
 
-def is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
+#: Keys that one host's rows are dealt over in joins.
+SALTS = 64
+
+
+def is_boilerplate(tag: str, attrs: str, inside: int) -> bool:
+    """By tag, hidden mark, role, or a whole token of class or id. inside: 0, 1 in a main element, 2 in an article, where a header is the article's own."""
     if tag in DROPPED or (tag == "header" and not inside):
         return True
-    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
+    for name, a, b, c in _ATTR.findall(attrs) if _ASKED.search(attrs) else ():
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name in ("class", "id", "role") and tag not in ("html", "body"):
-            for token in value.split():
-                if token in NAMES or token.replace("_", "-").split("-")[0] in NAMES:
-                    return True
+        if tag in ("html", "body"):
+            continue
+        if name == "role" and not ROLES.isdisjoint(value.split()):
+            return True
+        if name in ("class", "id") and not (INSIDE if inside > 1 else NAMES).isdisjoint(value.replace("_", "-").split()):
+            return True
     return False
 
 
@@ -61,7 +71,7 @@ def blocks(page: str) -> list[tuple[bool, str]]:
     """(in the article or main element, text) of each block outside of known boilerplate, in page order; spaces joined, trimmed, not empty."""
     out: list[tuple[bool, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, main
+    stack: list[tuple[str, bool, int]] = []  # tag, dropped, in main (1) or article (2)
     state = [False]
 
     def flush() -> None:
@@ -99,7 +109,7 @@ def blocks(page: str) -> list[tuple[bool, str]]:
                 if not dropped and tag in BLOCKS:
                     flush()
                 del stack[depth:]
-                state[0] = bool(stack) and stack[-1][2]
+                state[0] = bool(stack) and stack[-1][2] > 0
             continue
         if tag == "br":
             if not dropped:
@@ -111,7 +121,7 @@ def blocks(page: str) -> list[tuple[bool, str]]:
             _close_p(stack)
         if tag in VOID:
             continue
-        inside = bool(stack) and stack[-1][2]
+        inside = stack[-1][2] if stack else 0
         dropped = bool(stack) and stack[-1][1]
         drop = dropped or is_boilerplate(tag, m[3], inside)
         if tag in RAW:
@@ -125,14 +135,14 @@ def blocks(page: str) -> list[tuple[bool, str]]:
             close = page.find(">", end.start())
             at = size if close < 0 else close + 1
             continue
-        stack.append((tag, drop, inside or (tag in MAIN and not drop)))
-        state[0] = stack[-1][2]
+        stack.append((tag, drop, max(inside, MAIN.index(tag) + 1) if tag in MAIN and not drop else inside))
+        state[0] = stack[-1][2] > 0
     if not (stack and stack[-1][1]):
         flush()
     return out
 
 
-def _close_p(stack: list[tuple[str, bool, bool]]) -> None:
+def _close_p(stack: list[tuple[str, bool, int]]) -> None:
     """A block's start ends an open paragraph, with the inline elements in it."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] == "p":
@@ -274,7 +284,7 @@ def _without(rest: list[str], marks: list[dict]) -> list[str]:
     return [x for x in out if x]
 
 
-def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500, share: float = 0.3, fewest: int = 3, long: int = 25, long_share: float = 0.05) -> DataFrame:
+def main_text(pages: DataFrame, least: int = 5, share: float = 0.3, fewest: int = 3, long: int = 25, long_share: float = 0.05) -> DataFrame:
     """page_id, url, text and n_chars of every page; text is empty where there is none, never null.
 
     A page with an article or main element gives that element's blocks; any other page the blocks that aren't boilerplate by name nor by what
@@ -286,8 +296,8 @@ def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500, share: fl
     runs of `long` tokens that long_share of them have, `fewest` at least, unless these are over half of what the page has besides the former.
 
     Sharing is decided over the whole host, of any size: windows are dealt by their hash and counted with partial sums, so a host with a
-    third of all pages is many groups. Only hosts with a page that the markup leaves open are counted. part_pages has no effect any more: no
-    host is cut into parts.
+    third of all pages is many groups. Only hosts with a page that the markup leaves open are counted. A host's pages and windows are
+    dealt over SALTS keys where they meet the host's row.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -295,15 +305,18 @@ def main_text(pages: DataFrame, least: int = 5, part_pages: int = 500, share: fl
     rows = source_columns(pages, "page_id", "url", "html").select("page_id", "url", F.xxhash64(host).alias("h"), "html")
     found = written(rows.mapInArrow(_parsed, "page_id long, url string, h long, text string, rest array<string>, unsure boolean, content long"), "parsed")
     unsure = found.where("unsure")
-    asked = found.where(F.size("rest") > 0).join(unsure.select("h").distinct(), "h", "left_semi")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    asked = found.where(F.size("rest") > 0).withColumn("salt", F.pmod("content", F.lit(SALTS)).cast("int"))
+    asked = asked.join(unsure.select("h").distinct().withColumn("salt", salts), ["h", "salt"], "left_semi")
     distinct = written(asked.groupBy("h", "content").agg(F.first("rest").alias("rest"), F.first("unsure").alias("unsure")).select("h", "content", "rest", "unsure"), "undecided")
     widths, form = tuple(sorted({least, long})), "h long, content long, width int, w long, at array<int>"
     seen = distinct.select("h", "content", "rest").mapInArrow(_windows(widths), form)
     counted = seen.groupBy("w", "h", "width").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("pages")).withColumn("salt", salts)
+    counted = counted.withColumn("salt", F.pmod("w", F.lit(SALTS)).cast("int"))
     on = lambda part: F.col("n") >= F.greatest(F.lit(fewest), F.ceil(F.col("pages") * part))
     common = (F.col("width") == least) & on(share)
-    shared = counted.join(sizes, "h").withColumn("common", common).where(F.col("common") | ((F.col("width") == long) & on(long_share))).select("w", "common")
+    shared = counted.join(sizes, ["h", "salt"]).withColumn("common", common).where(F.col("common") | ((F.col("width") == long) & on(long_share))).select("w", "common")
     marks = distinct.where("unsure").select("h", "content", "rest").mapInArrow(_windows(widths), form).join(shared, "w")
     marks = marks.groupBy("h", "content").agg(F.collect_list(F.struct("width", "at", "common")).alias("marks"))
     open_pages = unsure.join(marks, ["h", "content"], "left").select("page_id", "url", "rest", "marks")

@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from tests.conftest import SF
+
 
 def extract(page):
     from tessella.llm.html_extract import blocks
@@ -22,6 +24,9 @@ def extract(page):
         ("<article><p>cut of", ["cut of"]),
         ("<article><ul><li>x<li>y</ul><table><tr><td>p</td><td>q</td></tr></table></article>", ["x", "y", "p", "q"]),
         ("<article><div class='ad'>buy<div>now</div></div><p class=\"lead\">t</p><div role=complementary>z</div></article>", ["t"]),
+        ("<article><p>a</p><p class=share-price>b</p><p id='notice-period'>c</p><div class=\"search-results\">d</div><section class='comment-on-law'>e</section></article>", list("abcde")),
+        ("<article><p title=it's>a</p><p title='the hidden class=ad role'>b</p><p title=\"x>y\" data-role=menu>c<p hidden>d<p class='x ad y'>e</article>", list("abc")),
+        ("<main><div class=share>s</div><article><header>h</header><div class=share>t</div><p role=note>n</p></article></main>", list("htn")),
         ("", []),
         ("plain text", []),
     ],
@@ -52,12 +57,116 @@ def test_host_template_goes_and_unique_runs_stay(spark):
 
     rows = [(i, f"http://h.example/{i}", f"<div>Welcome to our site about things</div><div>story{i} of its own number{i} here</div><p>All rights are kept by us {i}</p>") for i in range(6)]
     rows += [(10, "http://other.example/1", "<div>Welcome to our site about things</div>"), (11, None, None), (12, "bad url", ""), (12, "bad url", "")]
-    out = {(r.page_id): r for r in main_text(spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host int, part string"), part_pages=3).collect()}
+    out = {(r.page_id): r for r in main_text(spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host int, part string"), fewest=3).collect()}
     for i in range(6):
         assert out[i].text == f"story{i} of its own number{i} here\n\n{i}"
     assert out[10].text == "Welcome to our site about things" and out[11].text == "" and out[12].n_chars == 0
 
 
+def plain_main_text(rows, least=5, share=0.3, fewest=3, long=25, long_share=0.05):
+    """(page_id, host, blocks) of pages without article to {page_id: text}: every window of every distinct page counted as a tuple."""
+    import math
+
+    out = {}
+    for host in {h for _, h, _ in rows}:
+        pages = {tuple(b) for _, h, b in rows if h == host}
+        words = {b: [w for x in b for w in x.split(" ")] for b in pages}
+        count = {}
+        for b in pages:
+            for width in (least, long):
+                for win in {tuple(words[b][i : i + width]) for i in range(len(words[b]) - width + 1)}:
+                    count[win] = count.get(win, 0) + 1
+        need = {least: max(fewest, math.ceil(len(pages) * share)), long: max(fewest, math.ceil(len(pages) * long_share))}
+        for i, h, b in rows:
+            if h != host:
+                continue
+            ws, own = words[tuple(b)], [k for k, x in enumerate(b) for _ in x.split(" ")]
+            marks = {}
+            for width in (least, long):
+                across, within = [False] * len(ws), [False] * len(ws)
+                for k in range(len(ws) - width + 1):
+                    if count[tuple(ws[k : k + width])] >= need[width]:
+                        for j in range(k, k + width):
+                            across[j] = True
+                            within[j] = within[j] or own[k] == own[k + width - 1]
+                marks[width] = across, within
+            across, within = marks[least]
+            more = sum(y and not x for x, y in zip(across, marks[long][0], strict=True))
+            if more * 2 <= across.count(False):
+                across, within = ([x or y for x, y in zip(u, v, strict=True)] for u, v in zip((across, within), marks[long], strict=True))
+            kept = []
+            for k in range(len(b)):
+                at = [j for j in range(len(ws)) if own[j] == k]
+                if not all(across[j] for j in at):
+                    kept.append(" ".join(ws[j] for j in at if not within[j]))
+            out[i] = "\n\n".join(x for x in kept if x)
+    return out
+
+
+def test_query_against_counted_windows(spark, tmp_path):
+    """The registered query on hosts whose pages have no article, one of them with most of all pages."""
+    from tessella.llm.queries import queries
+
+    rnd = random.Random(12)
+    tail = " ".join(f"legal{k}" for k in range(40))
+    rows = []
+    for i in range(120):
+        host = "big" if i % 3 else f"small{i % 4}"
+        own = [" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(1, 4))]
+        own.insert(0, f"Start with {host} and read on now")
+        if i % 7 == 0:
+            own.append(tail)
+        if i % 4 == 0:
+            own[-1] += " see all of our other pages here"
+        rows.append((i, host, own))
+    rows += [(200, "big", rows[1][2]), (201, "big", rows[1][2]), (202, "alone", ["one page only of this host here"])]
+    table = spark.createDataFrame([(i, f"https://{h}.example/{i}?x", "".join(f"<div>{x}</div>" for x in b), "x") for i, h, b in rows], "page_id long, url string, html string, h string")
+    table.write.parquet(f"file://{tmp_path}/pages.parquet")
+    out = {r.page_id: (r.text, r.n_chars) for r in queries()["op9_html_extraction"](spark, f"file://{tmp_path}").collect()}
+    want = plain_main_text(rows)
+    assert out == {i: (t, len(t)) for i, t in want.items()}
+    assert all("Start with" not in want[i] and "legal1" not in want[i] for i, h, _ in rows if h == "big")
+
+
+def test_query_against_another_parser(spark):
+    """All supplied pages against the standard library's parser: the blocks of article."""
+    from html.parser import HTMLParser
+
+    from tessella.llm.html_extract import BLOCKS
+    from tessella.llm.queries import queries
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.out = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag in BLOCKS:
+                self.out.append("")
+            if tag == "br":
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag in BLOCKS:
+                self.out.append("")
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.out[-1] += data
+
+    sf = SF.replace("0.001", "0.01")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html").collect()
+    out = {r.page_id: r.text for r in queries()["op9_html_extraction"](spark, sf).collect()}
+    assert len(out) == len(pages) > 200
+    for r in pages:
+        p = Article()
+        p.feed(r.html)
+        p.close()
+        assert out[r.page_id] == "\n\n".join(y for x in p.out if (y := " ".join(x.split())))
+
+
 def test_article_text_is_never_template(spark):
     from tessella.llm.html_extract import main_text
 
@@ -77,7 +186,7 @@ def test_a_large_host_is_decided_whole(spark):
         streams[i] = streams[i] + [f"r{i}x{k}" for k in range(6)] + ["end"]
         streams[i + 1] = [f"r{i}x{k}" for k in range(6)] + streams[i + 1]
     rows = [(i, f"http://h.example/{i}", f"<p>{' '.join(s)}</p>") for i, s in enumerate(streams)]
-    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), part_pages=4, **ANY_TWO).collect()}
+    out = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **ANY_TWO).collect()}
     ids = {}
     marks = covered([np.array([ids.setdefault(w, len(ids)) for w in s]) for s in streams], 5)
     assert out == {i: " ".join(w for w, g in zip(s, m, strict=True) if not g) for i, (s, m) in enumerate(zip(streams, marks, strict=True))}
