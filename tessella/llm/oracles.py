@@ -50,31 +50,45 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS ke
 """
 
 
-def quality(risk: float = 0.004, delta: float = 0.05) -> str:
-    grid = ", ".join(f"('{r}', {i}, {c})" for r, cuts in RULES.items() for i, c in enumerate(cuts))
-    n_cuts = sum(map(len, RULES.values()))
+def _measured() -> str:
+    """CTEs up to m: base counts and rule scores of every document."""
     scores = (
         "floor(n_symbols * 1000 / greatest(word_chars, 1)) AS symbols_permille, floor(n_dup_lines * 1000 / greatest(n_solid, 1)) AS dup_lines_permille, "
         "floor(n_repeat_words * 1000 / greatest(n_words, 1)) AS repeat_words_permille, floor(word_chars * 100 / greatest(n_words, 1)) AS long_words_centi, -floor(word_chars * 100 / greatest(n_words, 1)) AS short_words_centi"
     )
-    rows = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {r} AS score FROM m" for r in RULES)
     return rf"""
-WITH t AS (SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS l FROM documents),
+WITH t AS (SELECT doc_id, lang AS stratum, source, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, {_BLANK}) <> '') AS l FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM t WHERE len(w) >= 8),
 rep AS (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM rep GROUP BY doc_id),
-b AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+b AS (SELECT doc_id, stratum, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
 (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_solid, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN cov USING (doc_id)),
-m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {scores} FROM b),
+m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {scores} FROM b)"""
+
+
+def quality(risk: float = 0.004, most_risk: float = 0.05, delta: float = 0.05) -> str:
+    grid = ", ".join(f"('{r}', {i}, {c})" for r, cuts in RULES.items() for i, c in enumerate(cuts))
+    rows = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, {r} AS score FROM m" for r in RULES)
+    share = f"greatest({risk}, CASE WHEN {{n}} > 0 THEN 1 - exp(ln(lvl) / {{n}}) ELSE 1 END)"
+    safe = (
+        "({k} <= {n} * {p} AND list_sum(list_transform(range((CASE WHEN {k} <= {n} * {p} AND {p} < 1 THEN {k} ELSE 0 END)::BIGINT + 1), "
+        "lambda x: exp(lgamma({n} + 1) - lgamma(x + 1) - lgamma({n} - x + 1) + x * ln({p}) + ({n} - x) * ln(greatest(1 - {p}, 1e-300))))) <= lvl * (1 + 1e-9))"
+    )
+    return rf"""{_measured()},
 sc AS ({rows}),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
 grid(rule, i, cut) AS (VALUES {grid}),
-held AS (SELECT sc.* FROM sc JOIN good USING (doc_id) JOIN m USING (doc_id) WHERE NOT m.base_failed),
-k AS (SELECT stratum, rule, i, cut, count(*) AS n, sum((score > cut)::INT) AS k FROM held JOIN grid USING (rule) GROUP BY ALL),
-tests AS (SELECT count(DISTINCT coalesce(stratum, chr(1))) * {n_cuts} AS tests FROM k),
-safe AS (SELECT stratum, rule, arg_min(cut, i) AS cut FROM k, tests WHERE k <= n * {risk}
-AND list_sum(list_transform(range((CASE WHEN k <= n * {risk} THEN k ELSE 0 END)::BIGINT + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) + x * ln({risk}) + (n - x) * ln(1 - {risk})))) <= {delta} / tests GROUP BY ALL),
-bad AS (SELECT DISTINCT doc_id FROM sc JOIN safe ON sc.rule = safe.rule AND sc.stratum IS NOT DISTINCT FROM safe.stratum WHERE score > cut)
+held AS (SELECT m.* FROM m JOIN good USING (doc_id) WHERE NOT m.base_failed),
+k AS (SELECT stratum, rule, i, sum((score > cut)::INT)::BIGINT AS k FROM (SELECT sc.* FROM sc JOIN good USING (doc_id) JOIN m USING (doc_id) WHERE NOT m.base_failed) JOIN grid USING (rule) GROUP BY ALL),
+strata AS (SELECT s, count(h.doc_id)::BIGINT AS n FROM (SELECT DISTINCT stratum AS s FROM m) LEFT JOIN held h ON h.stratum IS NOT DISTINCT FROM s GROUP BY s),
+lv AS (SELECT {delta} / ((count(*) FILTER (n > 0) + 1) * {len(RULES)}) AS lvl FROM strata),
+c AS (SELECT s, n, lvl, x.rule, x.i, cut, coalesce(k, 0) AS k, sum(n) OVER (PARTITION BY x.rule, x.i)::BIGINT AS pn, sum(coalesce(k, 0)) OVER (PARTITION BY x.rule, x.i)::BIGINT AS pk
+FROM (SELECT * FROM strata, lv, grid) x LEFT JOIN k ON k.rule = x.rule AND k.i = x.i AND k.stratum IS NOT DISTINCT FROM s),
+p AS (SELECT *, {share.format(n="n")} AS share, {share.format(n="pn")} AS pshare FROM c),
+q AS (SELECT *, bool_and({safe.format(k="k", n="n", p="share")}) OVER r AS ok, bool_and({safe.format(k="pk", n="pn", p="pshare")}) OVER r AS pok FROM p WINDOW r AS (PARTITION BY s, rule ORDER BY i DESC)),
+u AS (SELECT *, min(cut) FILTER (pok AND pshare <= {most_risk}) OVER (PARTITION BY s, rule) AS pcut FROM q),
+safe AS (SELECT s, rule, CASE WHEN share <= {most_risk} THEN min(cut) FILTER (ok) ELSE min(cut) FILTER (cut >= pcut AND k <= n * {most_risk}) END AS cut FROM u GROUP BY s, rule, share),
+bad AS (SELECT DISTINCT doc_id FROM sc JOIN safe ON sc.rule = safe.rule AND sc.stratum IS NOT DISTINCT FROM safe.s WHERE score > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
 """
 

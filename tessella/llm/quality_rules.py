@@ -1,24 +1,25 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-A rule rejects a document whose score lies beyond a cutoff. Cutoffs come from a fixed grid. Labelled good documents are the holdout: for
-each stratum (language), rule and cutoff, an exact binomial test of "the rule rejects more than `risk` of the good documents" decides
-whether the cutoff is safe, at level delta divided by the number of all such tests (Bonferroni). The strictest safe cutoff is used; a rule
-without one rejects nothing in that stratum. So with probability 1 - delta no stratum loses more than len(RULES) * risk of its good
-documents to the rules.
-
-A stratum with too few labels to certify anything, whatever they say, can use cutoffs certified on the labels of all strata together
-(pooled); its own labels can still rule one out. For such strata the bound holds over all strata together, not for each.
+A rule rejects a document whose score lies beyond a cutoff. Labelled good documents are the holdout. For each stratum (language) and rule the
+cutoffs of a fixed grid are tested from lenient to strict, each by an exact binomial test of "the rule rejects more than the allowed share of
+the good documents"; the first cutoff that isn't certified ends the sequence (fixed-sequence testing, which needs no correction along the
+grid), and the last certified one is used. Rules and strata are corrected for: every test is at level delta / (rules * (strata + 1)).
+
+The allowed share is `risk`, or in a stratum with few labels the least share that its number of labels could certify if none of them were
+rejected, up to `most_risk`; it depends on the number of labels alone. A stratum where even that is more than most_risk takes the cutoffs
+certified on the labels of all strata together, as long as no more than most_risk of its own good labels lie beyond them. So with probability
+1 - delta no stratum with enough labels loses more than its allowed share of good documents to any rule, nor does the pool of all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, source_columns
+from tessella.llm.common import SPACE, source_columns, written
 
 SYMBOLS = "[#*$%&|<>]"
-#: Fixed grid: rule, and its cutoffs from strict to lenient. A document is rejected where score > cutoff.
+#: The grid, set before any label is seen: rule, and its cutoffs from strict to lenient. A document is rejected where score > cutoff.
 RULES: dict[str, tuple[int, ...]] = {
     "symbols_permille": (10, 20, 50, 100, 150, 200, 300),
     "dup_lines_permille": (100, 200, 300, 400, 500, 700),
@@ -93,10 +94,10 @@ def measured(docs: DataFrame) -> DataFrame:
     return out.withColumn("m", m).drop("__w", "__l", "__word_chars", "__n_symbols")
 
 
-def binomial_below(n: Column, k: Column, p: float) -> Column:
+def binomial_below(n: Column, k: Column, p: Column) -> Column:
     """log P(Bin(n, p) <= k), summed term by term in logarithms: exact up to rounding."""
-    start = n * F.log1p(F.lit(-p))
-    odds = F.log(F.lit(p)) - F.log1p(F.lit(-p))
+    start = n * F.log1p(-p)
+    odds = F.log(p) - F.log1p(-p)
 
     def step(a: Column, i: Column) -> Column:
         term = a["t"] + F.log((n - i + 1) / i) + odds
@@ -106,43 +107,43 @@ def binomial_below(n: Column, k: Column, p: float) -> Column:
     return F.when(k < 1, start).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int")), first, step, lambda a: a["s"]))
 
 
-def thresholds(scores: DataFrame, labels: DataFrame, risk: float, delta: float, pooled: bool = False) -> DataFrame:
-    """stratum, and the cutoff of each rule (null: off). scores: doc_id, stratum, m. A row for each stratum with labels comes out.
+def thresholds(scores: DataFrame, labels: DataFrame, risk: float, most_risk: float, delta: float) -> DataFrame:
+    """A row for each stratum of scores: s, the cutoff of each rule (null: off). scores: doc_id, stratum, m.
 
-    Documents with any label of good quality are good; labels without id or quality are left out. pooled: a row for each stratum of scores
-    comes out, and those where even no rejected good document would not certify a cutoff take the strictest one that is certified on all
-    strata together and beyond which no more than `risk` of their own good documents lie. The pool's tests count among all tests.
+    Documents with any label of good quality are good; labels without id or quality are left out. Only counts for each stratum are ordered.
     """
     good = source_columns(labels, "doc_id", "quality").where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1")
     held = scores.where(~F.col("m.base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
-    cells = [f"{r}_{i}" for r, grid in RULES.items() for i in range(len(grid))]
     sums = [F.sum((F.col(f"m.{r}") > c).cast("long")).alias(f"{r}_{i}") for r, grid in RULES.items() for i, c in enumerate(grid)]
     counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
-    if pooled:
-        strata = scores.select(F.col("stratum").alias("s")).distinct()
-        counts = strata.join(counts, F.col("s").eqNullSafe(F.col("stratum")), "left").select(F.col("s").alias("stratum"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", *cells)])
-        counts = counts.select("*", *[F.sum(c).over(_whole()).alias(f"pool_{c}") for c in ("n", *cells)])
-    tests = (F.count(F.when(F.col("n") > 0, 1)).over(_whole()) + int(pooled)) * len(cells)
-    counts = counts.withColumn("level", F.log(F.lit(delta) / tests))
-
-    def safe(cell: str, of: str = "") -> Column:
-        n, k = F.col(f"{of}n"), F.col(f"{of}{cell}")
-        return (k <= n * risk) & (binomial_below(n, k, risk) <= F.col("level"))
-
-    def cutoff(rule: str) -> Column:
-        cuts = [(f"{rule}_{i}", c) for i, c in enumerate(RULES[rule])]
-        own = F.coalesce(*[F.when(safe(cell), F.lit(c)) for cell, c in cuts])
-        if not pooled:
-            return own
-        shared = F.coalesce(*[F.when(safe(cell, "pool_") & (F.col(cell) <= F.col("n") * risk), F.lit(c)) for cell, c in cuts])
-        return F.when(binomial_below(F.col("n"), F.lit(0), risk) > F.col("level"), shared).otherwise(own)
-
-    return counts.select(F.col("stratum").alias("s"), *[cutoff(r).alias(f"cut_{r}") for r in RULES])
+    strata = scores.select(F.col("stratum").alias("s")).distinct().join(counts, F.col("s").eqNullSafe(F.col("stratum")), "left")
+    strata = strata.withColumn("n", F.coalesce("n", F.lit(0)))
+    strata = strata.withColumn("level", F.lit(delta) / ((F.count(F.when(F.col("n") > 0, 1)).over(_whole()) + 1) * len(RULES)))
+
+    # a row for each stratum and cell of the grid
+    cells = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cut"), F.coalesce(f"{r}_{i}", F.lit(0)).alias("k")) for r, grid in RULES.items() for i, c in enumerate(grid)]
+    grid = strata.select("s", "n", "level", F.explode(F.array(*cells)).alias("c")).select("s", "n", "level", "c.*")
+    cell = Window.partitionBy("rule", "i")
+    grid = grid.withColumn("pool_n", F.sum("n").over(cell)).withColumn("pool_k", F.sum("k").over(cell))
+    # with no rejection, n labels exclude a share p at this level where (1 - p) ** n <= level
+    least = lambda n: F.when(n > 0, 1 - F.exp(F.log("level") / n)).otherwise(F.lit(1.0))
+    grid = grid.withColumn("share", F.greatest(F.lit(risk), least(F.col("n")))).withColumn("pool_share", F.greatest(F.lit(risk), least(F.col("pool_n"))))
+
+    lenient_first = Window.partitionBy("s", "rule").orderBy(F.desc("i"))
+    for of in ("", "pool_"):
+        n, k, p = F.col(f"{of}n"), F.col(f"{of}k"), F.col(f"{of}share")
+        few = (p <= most_risk) & (k <= n * p)
+        safe = F.when(few, binomial_below(n, k, p) <= F.log("level") + 1e-9).otherwise(F.lit(False))
+        grid = grid.withColumn(f"{of}ok", F.min(safe).over(lenient_first))
+    rule = Window.partitionBy("s", "rule")
+    grid = grid.withColumn("pool_cut", F.min(F.when(F.col("pool_ok"), F.col("cut"))).over(rule))
+    pooled = (F.col("cut") >= F.col("pool_cut")) & (F.col("k") <= F.col("n") * most_risk)
+    grid = grid.withColumn("used", F.when(F.col("share") <= most_risk, F.col("ok")).otherwise(pooled))
+    return grid.groupBy("s").agg(*[F.min(F.when((F.col("rule") == r) & F.col("used"), F.col("cut"))).alias(f"cut_{r}") for r in RULES])
 
 
 def _whole():
-    from pyspark.sql import Window
-
+    """Over all strata: one row for each."""
     return Window.partitionBy()
 
 
@@ -155,27 +156,26 @@ def judged(rows: DataFrame, cuts: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("m.base_failed") & ~beyond).drop("s", *[f"cut_{r}" for r in RULES])
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.004, delta: float = 0.05, pooled: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.004, most_risk: float = 0.05, delta: float = 0.05) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum and kept of every row.
 
     Null or empty text: all counts 0, base_failed. The stratum is lang (null is one). Repeated rows are judged one by one; where ids
     repeat, each labelled row counts in the holdout. Empty documents: empty result; empty labels: only the base rules. One pass over the
-    texts; narrow rows meet the labels, and a few counts for each stratum decide. pooled: see thresholds; the query's SQL is without it.
+    texts; narrow rows meet the labels, and a few counts for each stratum decide.
     """
-    from tessella.llm.common import written
-
     rows = measured(source_columns(docs, "doc_id", "text", "lang")).select("doc_id", F.col("lang").alias("stratum"), "m")
     rows = written(rows, "quality")
-    out = judged(rows, thresholds(rows, labels, risk, delta, pooled))
+    out = judged(rows, thresholds(rows, labels, risk, most_risk, delta))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     return out.select("doc_id", *[F.col(f"m.{n}").alias(n) for n in names], "stratum", "kept")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.004, delta: float = 0.05, pooled: bool = True) -> DataFrame:
-    """The documents that the rules keep, same columns; small strata use the pool's cutoffs. Texts are measured once and written with their scores; no text is shuffled."""
-    from tessella.llm.common import written
+def good_documents(docs: DataFrame, labels: DataFrame, risk: float = 0.004, most_risk: float = 0.05, delta: float = 0.05) -> DataFrame:
+    """The documents that quality_rules keeps, same columns; rows with nulls, repeated rows and empty tables as there.
 
+    Texts are measured once and written with their scores; no text is shuffled.
+    """
     rows = measured(docs.select(F.struct("*").alias("row"), F.col("text"))).drop("text").withColumn("stratum", F.col("row.lang"))
     rows = written(rows, "quality")
     scores = rows.select(F.col("row.doc_id").alias("doc_id"), "stratum", "m")
-    return judged(rows, thresholds(scores, labels, risk, delta, pooled)).where("kept").select("row.*")
+    return judged(rows, thresholds(scores, labels, risk, most_risk, delta)).where("kept").select("row.*")

@@ -48,6 +48,53 @@ def base_counts(text):
     return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 20 or 100 * len(covered) > 30 * n
 
 
+def rule_scores(text):
+    """The five rules' scores by name."""
+    n, chars, symbols, dup, rep, _ = base_counts(text)
+    solid = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+    long = chars * 100 // max(n, 1)
+    return {
+        "symbols_permille": symbols * 1000 // max(chars, 1), "dup_lines_permille": dup * 1000 // max(solid, 1), "repeat_words_permille": rep * 1000 // max(n, 1),
+        "long_words_centi": long, "short_words_centi": -long,
+    }
+
+
+def kept_by_rules(rows, good, grid, risk=0.004, most=0.05, delta=0.05):
+    """rows: (doc_id, text, stratum); good: ids labelled good; grid: rule to cutoffs from strict to lenient. The ids that stay."""
+    import math
+
+    passed = [(d, s, rule_scores(t)) for d, t, s in rows if not base_counts(t)[-1]]
+    strata = {s for _, _, s in rows}
+    held = {s: [x for d, z, x in passed if z == s and d in good] for s in strata}
+    everything = [x for xs in held.values() for x in xs]
+    level = delta / ((sum(map(bool, held.values())) + 1) * len(grid))
+
+    def allowed(xs):
+        return max(risk, 1 - level ** (1 / len(xs)) if xs else 1)
+
+    def strictest(xs, rule):
+        p, n, last = allowed(xs), len(xs), None
+        if p > most:
+            return None
+        for cut in reversed(grid[rule]):
+            k = sum(x[rule] > cut for x in xs)
+            if k > n * p or sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) > level * (1 + 1e-9):
+                break
+            last = cut
+        return last
+
+    cuts = {}
+    for s in strata:
+        for rule in grid:
+            if allowed(held[s]) <= most:
+                cuts[s, rule] = strictest(held[s], rule)
+                continue
+            pool = strictest(everything, rule)
+            ok = [c for c in grid[rule] if pool is not None and c >= pool and sum(x[rule] > c for x in held[s]) <= len(held[s]) * most]
+            cuts[s, rule] = min(ok, default=None)
+    return {d for d, s, x in passed if all(cuts[s, r] is None or x[r] <= cuts[s, r] for r in grid)}
+
+
 def repeated_bytes(rows, width=100):
     """rows: (doc_id, text) to {doc_id: (n_bytes, n_removed, n_spans, sha)}."""
     seen, out = set(), {}

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tests.llm import brute
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, did string, key int, h string"
@@ -69,39 +70,51 @@ def test_quality_counts(spark, corpus):
     assert len(out) == len(corpus)
 
 
-def test_quality_thresholds_hold_their_risk(spark):
-    """A cutoff is used only where an exact test excludes a higher false rejection rate; junk beyond it goes, good documents stay."""
+def test_quality_thresholds(spark):
+    """Cutoffs certified in large strata, pooled in small ones, ruled out by a stratum's own labels, and none where labels are too few."""
+    from tessella.llm import quality_rules as Q
+
+    rnd = random.Random(3)
+    plain = lambda: " ".join("word"[: rnd.randint(2, 4)] * rnd.randint(1, 2) + str(rnd.randrange(97)) for _ in range(30))
+    odd = lambda: " ".join(f"mot{rnd.randrange(999)}##" for _ in range(30))
+    rows = [(i, plain() if i % 200 else odd(), "en") for i in range(2500)] + [(5000 + i, plain(), "de") for i in range(150)] + [(6000 + i, plain(), ("fr", "xx", None)[i % 3]) for i in range(60)]
+    rows += [(7000 + i, odd(), ("en", "de", "fr", "xx", None, "none")[i % 6]) for i in range(60)] + [(8000 + i, odd(), "xx") for i in range(9)] + [(9000, None, "en"), (9001, "", None), (9002, "few words", "de")]
+    good = {d for d, _, _ in rows if d < 7000 or 8000 <= d}
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, s string")
+    for share in (1.0, 0.2, 0.02):
+        some = {d for d in good if rnd.random() < share}
+        labels = spark.createDataFrame([(d, 1, 0) for d in some] + [(d, 0, 0) for d, _, _ in rows[::3]] + [(None, 1, 0), (7001, None, 1)], "doc_id long, quality int, toxic int")
+        want = brute.kept_by_rules(rows, some, Q.RULES)
+        assert {r.doc_id for r in Q.quality_rules(docs, labels).where("kept").collect()} == want
+        assert {r.doc_id for r in Q.good_documents(docs, labels).collect()} == want
+        plainly = {d for d, t, _ in rows if not brute.base_counts(t)[-1]}
+        assert share == 0.2 or (want != plainly) == (share == 1.0)
+        if share == 1.0:
+            gone = {s for d, _, s in rows if 7000 <= d < 8000 and d not in want}
+            assert "de" in gone and "xx" not in gone
+
+
+def test_binomial_tail(spark):
     import math
 
     from tessella.llm import quality_rules as Q
 
-    good = [(i, " ".join(f"word{(i * 31 + k) % 97}" for k in range(30))) for i in range(6000)]
-    junk = [(10_000 + i, " ".join(f"w{k}###" for k in range(30))) for i in range(50)]
-    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in good + junk], "doc_id long, text string, lang string, source string, n_chars long")
-    labels = spark.createDataFrame([(d, 1, 0) for d, _ in good] + [(d, 0, 0) for d, _ in junk[:10]], "doc_id long, quality int, toxic int")
-    out = {r.doc_id: r.kept for r in Q.quality_rules(docs, labels).select("doc_id", "kept").collect()}
-    assert all(out[d] for d, _ in good) and not any(out[d] for d, _ in junk)
     n, k, p = 300, 4, 0.02
     exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
-    got = spark.range(1).select(F.exp(Q.binomial_below(F.lit(n), F.lit(k), p)).alias("x"), F.exp(Q.binomial_below(F.lit(n), F.lit(0), p)).alias("y")).first()
+    got = spark.range(1).select(F.exp(Q.binomial_below(F.lit(n), F.lit(k), F.lit(p))).alias("x"), F.exp(Q.binomial_below(F.lit(n), F.lit(0), F.lit(p))).alias("y")).first()
     assert math.isclose(got.x, exact, rel_tol=1e-9) and math.isclose(got.y, (1 - p) ** n, rel_tol=1e-9)
 
 
-def test_small_strata_use_cutoffs_of_all_labels(spark):
-    """A language with few labels loses its junk by the pool's cutoffs, but not where its own labelled good documents lie beyond them."""
+def test_rules_act_in_every_language(spark):
+    """On the supplied tables of sf0.01, junk goes in each language and no labelled good document does."""
     from tessella.llm import quality_rules as Q
 
-    plain = lambda i: " ".join(f"word{(i * 31 + k) % 97}" for k in range(30))
-    junk = " ".join(f"w{k}###" for k in range(30))
-    rows = [(i, plain(i), "en") for i in range(2500)] + [(10_000 + i, plain(i), "fr") for i in range(40)] + [(20_000, junk, "en"), (20_001, junk, "fr"), (20_002, junk, "es"), (20_003, junk, None)]
-    odd = " ".join(f"mot{k}##" for k in range(30))
-    rows += [(30_000 + i, odd, "xx") for i in range(5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(d, 1) for d, _, _ in rows if d < 20_000 or 30_000 <= d < 30_003], "doc_id long, quality int")
-    kept = {r.doc_id for r in Q.good_documents(docs, labels).select("doc_id").collect()}
-    assert kept == {d for d, _, _ in rows if not 20_000 <= d < 30_000}
-    alone = {r.doc_id for r in Q.quality_rules(docs, labels).where("kept").select("doc_id").collect()}
-    assert alone == {d for d, _, _ in rows if d != 20_000}
+    sf = SF.replace("0.001", "0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = Q.quality_rules(spark.read.parquet(f"{sf}/documents.parquet"), labels).cache()
+    gone = out.where("not kept and not base_failed")
+    assert {r.stratum for r in gone.select("stratum").distinct().collect()} == {"en", "de", "fr", "es"}
+    assert gone.join(labels.where("quality = 1"), "doc_id").count() == 0 and gone.join(labels.where("quality = 0"), "doc_id").count() > 20
 
 
 def test_suffix_dedup(spark, corpus):
