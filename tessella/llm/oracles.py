@@ -22,21 +22,6 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT stays))::BIGIN
 sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256 FROM j GROUP BY doc_id
 """
 
-MIXING = rf"""
-WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size, 1 - len(regexp_extract_all(t, '[#*$%&|<>]')) / greatest(length(t), 1) AS share,
-(('0x' || substr(md5('17:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM t),
-s AS (SELECT source, sum(size)::BIGINT AS n FROM w GROUP BY source),
-o AS (SELECT source, n, 2.0::DOUBLE * n AS cap, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS g FROM s),
-f AS (SELECT *, 1.5::DOUBLE * sum(n) OVER () AS total, coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(g) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g_from FROM o
-WINDOW r AS (ORDER BY cap / g, source IS NULL, source)),
-a AS (SELECT arg_min((total - before) / g_from, cap / g) FILTER (cap >= (total - before) / g_from * g) AS lvl FROM f),
-p AS (SELECT source, n, coalesce(least(cap, lvl * g), cap) AS target FROM f, a),
-q AS (SELECT source AS src, n, target, CASE WHEN n > 0 THEN floor(target / n + 1e-12)::BIGINT ELSE 0 END AS epochs FROM p),
-x AS (SELECT w.*, q.*, sum(size) OVER (PARTITION BY source ORDER BY -ln(u) / greatest(0.05, share * share), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM w JOIN q ON w.source IS NOT DISTINCT FROM q.src)
-SELECT doc_id, source, size, n AS source_size, round(target, 6) AS target, (size * (epochs + (upto - size / 2.0 <= target - epochs * n)::BIGINT))::BIGINT AS taken FROM x
-"""
-
 NEAR_DUPLICATES = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text=f"translate(coalesce(text, ''), {_AZ})")} AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
@@ -93,4 +78,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_quality_rules": quality(), "op5_mixing": MIXING, "op7_minhash_dedup": NEAR_DUPLICATES}
+def mixing() -> str:
+    return rf"""{_measured()},
+w AS (SELECT m.doc_id, m.source, n_words AS size, ((1000.0::DOUBLE - symbols_permille) * (1000 - dup_lines_permille) * (1000 - repeat_words_permille)) / 1e9::DOUBLE AS q,
+(('0x' || substr(md5('17:' || coalesce(m.doc_id::VARCHAR, md5(t.t))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM m JOIN t ON m.doc_id = t.doc_id),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM w GROUP BY source),
+o AS (SELECT source, n, 2.0::DOUBLE * n AS cap, ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS g FROM s),
+f AS (SELECT *, 1.5::DOUBLE * sum(n) OVER () AS total, coalesce(sum(cap) OVER (r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(g) OVER (r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g_from FROM o
+WINDOW r AS (ORDER BY cap / g, source IS NULL, source)),
+a AS (SELECT arg_min((total - before) / g_from, cap / g) FILTER (cap >= (total - before) / g_from * g) AS lvl FROM f),
+p AS (SELECT source, n, coalesce(least(cap, lvl * g), cap) AS target FROM f, a),
+y AS (SELECT source AS src, n, target, CASE WHEN n > 0 THEN floor(target / n + 1e-12)::BIGINT ELSE 0 END AS epochs FROM p),
+x AS (SELECT w.*, y.*, sum(size) OVER (PARTITION BY source ORDER BY -ln(u) / greatest(0.05, q * q), doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM w JOIN y ON w.source IS NOT DISTINCT FROM y.src)
+SELECT doc_id, source, size, n AS source_size, round(target, 6) AS target, (size * (epochs + (upto - size / 2.0 <= target - epochs * n)::BIGINT))::BIGINT AS taken FROM x
+"""
+
+
+ORACLES: dict[str, str] = {"op2_line_dedup": LINE_DEDUP, "op3_quality_rules": quality(), "op5_mixing": mixing(), "op7_minhash_dedup": NEAR_DUPLICATES}

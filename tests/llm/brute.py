@@ -182,12 +182,13 @@ def mix(rows, weights=(3, 1, 2), share=1.5, epochs=2, seed=17):
 
         def key(r):
             u = (int(hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-            part = 1 - sum(c in "#*$%&|<>" for c in r[2] or "") / max(1, len(r[2] or ""))
-            return -math.log(u) / max(0.05, part * part), r[0]
+            x = rule_scores(r[2])
+            q = (1000.0 - x["symbols_permille"]) * (1000.0 - x["dup_lines_permille"]) * (1000.0 - x["repeat_words_permille"]) / 1e9
+            return -math.log(u) / max(0.05, q * q), r[0]
 
         for d, _, _ in sorted((r for r in rows if r[1] == s), key=key):
             upto += size[d]
-            out[d] = whole + (upto - size[d] / 2 <= rest)
+            out[d] = whole + (size[d] > 0 and upto - size[d] / 2 <= rest)
     return out
 
 

@@ -197,10 +197,39 @@ def test_mixed_documents_keep_columns_and_copies(spark, corpus):
     assert seen == {d: c for d, c in want.items() if c}
 
 
+def test_mixed_documents_of_equal_rows(spark):
+    """Equal ids and texts under two sources, equal rows, and rows without id: every row as often as mix takes it."""
+    from collections import Counter
+
+    from tessella.llm.mixture import mix, mixed_documents
+
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20 + i))
+    rows = [(1, text(1), "a", 1), (1, text(1), "b", 2), (1, text(1), "b", 3), (1, text(2), "b", 4), (2, text(2), "b", 5), (None, text(3), "a", 6), (None, text(4), "a", 7), (None, text(4), None, 8)]
+    rows += [(i, text(i % 9), "abc"[i % 3], 100 + i) for i in range(10, 60)] + [(7, text(7), "c", 9)] * 5 + [(8, "", "a", 10), (8, None, "a", 11), (None, None, None, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    want, got = Counter(), Counter()
+    for r in mix(docs).collect():
+        want[r.doc_id, r.source, r.mark] += r.copies
+    for r in mixed_documents(docs).select("doc_id", "source", F.xxhash64("text").alias("mark"), "n").collect():
+        got[r.doc_id, r.source, r.mark] += 1
+    assert got == +want and sum(got.values()) > len(rows)
+    sizes = [r["count"] for r in mixed_documents(docs).groupBy("n").count().collect()]
+    assert max(sizes) <= 2 * 5
+
+
+def test_key_ranges_are_narrow_whatever_the_weights(spark):
+    """A source of equal weights, all at the floor, doesn't gather in one range."""
+    from tessella.llm import mixture as M
+
+    rows = spark.range(20000).select((-F.log(M.uniform(17, F.col("id").cast("string"))) / F.lit(0.05)).alias("key"))
+    bins = rows.groupBy(F.floor(F.log2("key") * M.OCTAVE)).count()
+    assert bins.agg(F.max("count")).first()[0] < 25
+
+
 def test_weights_favour_quality(spark):
     from tessella.llm.mixture import mix
 
-    rows = [(i, ("ok " * 10).strip() if i % 2 else "ok### " * 10, "en", "ab"[i % 4 // 2]) for i in range(2000)]
+    rows = [(i, " ".join(f"ok{k}" if i % 2 else f"ok{k}###" for k in range(10)), "en", "ab"[i % 4 // 2]) for i in range(2000)]
     out = mix(make(spark, rows), weights=(1.0, 3.0), share=0.6, epochs=2.0).where("source = 'a'").groupBy((F.col("doc_id") % 2).alias("good")).agg(F.avg((F.col("copies") > 0).cast("int")).alias("s")).collect()
     share = {r.good: r.s for r in out}
     assert share[1] > share[0] * 1.5
