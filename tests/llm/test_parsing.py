@@ -294,7 +294,24 @@ def test_tiles():
         doc = [rnd.randrange(3) for _ in range(rnd.randint(0, 25))]
         item = [rnd.randrange(3) for _ in range(rnd.randint(0, 18))]
         least = rnd.choice([1, 2, 3])
-        assert tiles(np.array(doc, np.uint64), np.array(item, np.uint64), least) == tile_oracle(doc, item, least)
+        for most in (1_000_000, 0):
+            assert tiles(np.array(doc, np.uint64), np.array(item, np.uint64), least, most) == tile_oracle(doc, item, least)
+
+
+def test_tiles_of_repetitive_texts_stay_small():
+    """The seeds of these texts have 50 million equal pairs; memory goes with the texts."""
+    import tracemalloc
+
+    from tessella.llm.common import splitmix
+    from tessella.llm.decontaminate import tiles
+
+    doc, item = splitmix(np.arange(50_000, dtype=np.uint64) % np.uint64(3)), splitmix(np.arange(1, 1001, dtype=np.uint64) % np.uint64(3))
+    doc[::701] = 5
+    tracemalloc.start()
+    found = tiles(doc, item, 5)
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+    assert sum(t[2] for t in found) > 990 and max(t[2] for t in found) == 700
 
 
 def test_decontamination_finds_reordered_passages(spark):
