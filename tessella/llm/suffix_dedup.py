@@ -11,8 +11,9 @@
    shorter. Matches of `width` or more chain equal windows; all but a chain's first are marked.
 4. Marks meet their documents, overlaps are joined, and what is left is the result.
 
-Windows that very many different pieces share (an edge of a passage that millions of documents hold) don't meet in one index: they are dealt
-by their own hashes, and first occurrences are taken by partial minima.
+A hash that more than HOT different pieces share (the edge of a passage that millions of documents hold) is dealt again: its pieces are cut
+where the hash of their windows' several smallest grams changes, equal cuts collapse to the first, and each finer hash has an index of its own.
+The last level's hash is that of the whole window, where all windows of a hash are equal. Every level ends in the same index.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import NO_ID, Powers, partitions, seeded, ship, source_columns, splitmix, text_bytes, written
@@ -31,7 +32,9 @@ GRAM = 32
 #: Windows in a piece at most; a longer run of one hash is several pieces.
 STARTS = 256
 #: Different pieces of one hash that one index may hold, and bytes of an index.
-HOT, INDEX_BYTES = 25_000, 900_000
+HOT, INDEX_BYTES = 2000, 900_000
+#: How many of a window's smallest grams make its hash at each further level; None: the whole window.
+LEVELS = (6, 24, None)
 _TABLES = seeded(256, 21), seeded(256, 22)
 _POWERS = Powers(0x9E6C63D0676A9A99), Powers(0xC2B2AE3D27D4EB4F)
 
@@ -49,6 +52,11 @@ def spans(total: np.ndarray, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray
     return splitmix((total[b] - total[a]) * _POWERS[k].down[a])
 
 
+def grams_of(data: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The hashes of all GRAM-byte strings; total: sums(data, 0)."""
+    return splitmix((total[GRAM:] - total[:-GRAM]) * _POWERS[0].down[: len(data) - GRAM + 1])
+
+
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) over each `width` neighbours, by doubling."""
     have = 1
@@ -65,7 +73,7 @@ def pieces(data: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     if n < width:
         return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
     total, other = sums(data, 0), sums(data, 1)
-    grams = splitmix((total[GRAM:] - total[:-GRAM]) * _POWERS[0].down[: n - GRAM + 1])
+    grams = grams_of(data, total)
     reach = width - GRAM + 1
     low = sliding(grams, reach, np.minimum)
     new = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
@@ -220,7 +228,7 @@ class RunIndex:
         is_end[end] = True
         text[is_end] = np.arange(k)  # every piece ends with a symbol of its own, so no match leaves a piece
         text[~is_end] = np.concatenate(parts).astype(np.int64) + k
-        self.text = text
+        self.text = text.astype(np.int32)
         order = self._sorted(text)
         before = text[order - 1]  # of position 0: the last end symbol
         head = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
@@ -326,35 +334,75 @@ def _bytes(width: int):
 
 
 def _index(width: int):
-    """Pieces sorted by (m, did, start) to marks (did, a, b); whole hashes are gathered up to INDEX_BYTES."""
+    """Pieces sorted by (m, body hash, did, start) to (did, a, b, body): marks with body null, and with b = 0 the pieces at a of hashes that more than HOT
+    different pieces share. Equal pieces but the first are marked at once; whole hashes are gathered up to INDEX_BYTES for an index."""
+
+    def batch_of(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        did, a, body = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.record_batch([pa.array(did, pa.int64()), pa.array(a, pa.int64()), pa.array([0] * len(rows), pa.int64()), pa.array(body, pa.binary())], _INDEXED)
+
+    def marked(did, a, b) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(did, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(did), pa.binary())], _INDEXED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        full, size = [], 0  # pieces of whole hashes, and the bytes of these and the group
+        group, hot, last = [], False, None  # different pieces of the hash that is being read, unless it is hot; its first column
+        before = None  # the last different piece
         for batch in batches:
-            for m, did, start, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if m != last and size >= INDEX_BYTES:
-                    yield _batch("did a b", *marks_of(held, width))
-                    held, size = [], 0
-                last = m
-                if not held or held[-1][:2] != (did, start):
-                    held.append((did, start, body))
-                    size += len(body)
-        if held:
-            yield _batch("did a b", *marks_of(held, width))
+            again, over = [], []
+            for m, did, start, body in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if m != last:
+                    full += sorted(group)
+                    group, hot, last, before = [], False, m, None
+                    if size >= INDEX_BYTES:
+                        yield marked(*marks_of(full, width))
+                        full, size = [], 0
+                if before is not None and before[2] == body:
+                    if before[:2] != (did, start):
+                        again.append((did, start, start + len(body)))
+                    continue
+                before = (did, start, body)
+                (over if hot else group).append(before)
+                size += 0 if hot else len(body)
+                if len(group) > HOT:
+                    size -= sum(len(p[2]) for p in group)
+                    over, group, hot = over + group, [], True
+            yield marked(*(zip(*again, strict=True) if again else ((), (), ())))
+            yield batch_of(over)
+        full += sorted(group)
+        if full:
+            yield marked(*marks_of(full, width))
 
     return run
 
 
-def _windows(width: int):
-    """Pieces (m, did, start, body) to their windows (w1, w2, did, start)."""
+_INDEXED = ["did", "a", "b", "body"]
+
+
+def _finer(width: int, grams: int | None):
+    """Pieces (did, a, body) cut where the hash of their windows' `grams` smallest grams changes, with None into windows: (m, did, start, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for did, start, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            out: list[tuple[int, int, int, bytes]] = []
+            for did, start, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = np.frombuffer(body, np.uint8)
-                a = np.arange(len(data) - width + 1)
-                w = [spans(sums(data, k), k, a, a + width).view(np.int64) for k in (0, 1)]
-                yield _batch("w1 w2 did start", *w, np.full(len(a), did, np.int64), a + start)
+                total = sums(data, 0)
+                if grams is None:
+                    a = np.arange(len(data) - width + 1)
+                    key = spans(total, 0, a, a + width)
+                else:
+                    each = grams_of(data, total)
+                    low = np.sort(np.partition(np.lib.stride_tricks.sliding_window_view(each, width - GRAM + 1), grams - 1, axis=1)[:, :grams], axis=1)
+                    key = np.zeros(len(low), np.uint64)
+                    for j in range(grams):
+                        key = splitmix(key + low[:, j])
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (grams is None)])).tolist()
+                for i, j in zip(new, [*new[1:], len(key)], strict=True):
+                    out.append((int(key[i].view(np.int64)), did, start + i, body[i : j + width - 1]))
+            cols = zip(*out, strict=True) if out else ((),) * 4
+            kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary()
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["m", "did", "start", "body"])
 
     return run
 
@@ -403,7 +451,7 @@ def repeated_bytes(docs: DataFrame, width: int = 100) -> DataFrame:
     twins = rows.select("did", F.xxhash64("text").alias("h")).groupBy("did").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
     if not twins.where("lo <> hi").isEmpty():
         # only for tables whose ids aren't unique: numbers in the same order take the ids' place
-        keys = rows.select("did", F.xxhash64("text").alias("h")).distinct().withColumn("no", F.row_number().over(Window.orderBy("did", "h")).cast("long"))
+        keys = rows.select("did", F.xxhash64("text").alias("h")).distinct().orderBy("did", "h").withColumn("no", F.monotonically_increasing_id())
         keys = written(keys, "suffix-ids")
         named = rows.withColumn("h", F.xxhash64("text")).join(keys, ["did", "h"]).select(F.col("no").alias("did"), "text")
         return _removed(named, width).join(keys, F.col("__did") == F.col("no")).select(_known("did"), *_COLUMNS)
@@ -423,22 +471,17 @@ def _removed(rows: DataFrame, width: int) -> DataFrame:
     found = found.repartition(n, "m").sortWithinPartitions("m", "ph", "did", "at")
     found = written(found.mapInArrow(_reduce(width), "did long, a long, b long, m long"), "suffix-marks")
     marks, rest = found.where("m is null").select("did", "a", "b"), found.where("m is not null").select("m", "did", F.col("a").alias("at"))
-    hot = written(rest.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("m"), "suffix-hot")
-
     lists = rest.groupBy("did").agg(F.collect_list(F.struct("m", "at")).alias("rest"))
     body = rows.join(lists, "did").select("did", "text", "rest").mapInArrow(_bytes(width), "m long, did long, start long, body binary")
-    if hot.isEmpty():
-        cold = body
-    else:
-        body = written(body, "suffix-rest")
-        cold = body.join(hot, "m", "left_anti")
-        windows = written(body.join(hot, "m", "left_semi").mapInArrow(_windows(width), "w1 long, w2 long, did long, start long"), "suffix-windows")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "start")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        later = windows.join(first, ["w1", "w2"]).where("first.did <> did or first.start <> start")
-        marks = marks.unionByName(later.select("did", F.col("start").alias("a"), (F.col("start") + width).alias("b")))
-    cold = cold.repartition(n, "m").sortWithinPartitions("m", "did", "start")
-    indexed = written(cold.mapInArrow(_index(width), "did long, a long, b long"), "suffix-indexed")
-    by_doc = marks.unionByName(indexed).groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    for grams in (*LEVELS, None):  # after the last level nothing is hot
+        sorted_body = body.select("m", F.xxhash64("body").alias("bh"), "did", "start", "body").repartition(n, "m").sortWithinPartitions("m", "bh", "did", "start")
+        indexed = written(sorted_body.mapInArrow(_index(width), "did long, a long, b long, body binary"), "suffix-indexed")
+        marks = marks.unionByName(indexed.where("body is null").select("did", "a", "b"))
+        over = indexed.where("body is not null").select("did", "a", "body")
+        if over.isEmpty():
+            break
+        body = over.mapInArrow(_finer(width, grams), "m long, did long, start long, body binary")
+    by_doc = marks.groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
     out = rows.join(by_doc, "did", "left").select("did", "text", "marks")
     schema = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return out.mapInArrow(_cut, schema).withColumnRenamed("did", "__did")

@@ -125,13 +125,19 @@ def test_suffix_dedup(spark, corpus):
     assert out == brute.repeated_bytes(rows)
 
 
-def test_suffix_dedup_hot_windows(spark, corpus, monkeypatch):
-    """Hashes with too many different pieces for one index go by window, with the same result."""
+@pytest.mark.parametrize("hot, levels", [(1, (6, 24, None)), (2, (1, None)), (3, (2, 69, None))])
+def test_suffix_dedup_hot_hashes(spark, corpus, monkeypatch, hot, levels):
+    """Hashes with too many different pieces for one index are dealt by finer ones, with the same result."""
     from tessella.llm import suffix_dedup as S
 
-    monkeypatch.setattr(S, "HOT", 1)
-    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.repeated_bytes(make(spark, corpus)).collect()}
-    assert out == brute.repeated_bytes([r[:2] for r in corpus])
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "LEVELS", levels)
+    monkeypatch.setattr(S, "INDEX_BYTES", 3000)
+    rnd = random.Random(2)
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(160))
+    more = [(1000 + i, "".join(rnd.choice("xyz ") for _ in range(rnd.randint(0, 90))) + passage[rnd.randint(0, 30) : rnd.randint(135, 160)] + str(i) * 9, "en", "a") for i in range(40)]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in S.repeated_bytes(make(spark, corpus + more)).collect()}
+    assert out == brute.repeated_bytes([r[:2] for r in corpus + more])
 
 
 def test_suffix_dedup_repeated_rows(spark):
