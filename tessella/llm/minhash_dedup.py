@@ -29,7 +29,7 @@ from tessella.llm.components import components
 K, T = 32, 15
 ALL, LEAST = 128, 80
 #: Rows of a posting that one block holds; larger postings meet block by block.
-BLOCK = 1024
+BLOCK = 512
 _MUL, _ADD = seeded(K, 5), seeded(K, 6)
 _MUL32, _ADD32 = ((seeded(ALL - K, s) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for s in (7, 8))
 
@@ -291,7 +291,8 @@ def near_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     reps = written(first.select(F.col("did").alias("rep"), "sig"), "near-reps")
 
     posted = reps.select("rep", "sig").mapInArrow(_postings, "key long, rep long")
-    counts = posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # written first: a join of two plain shuffles is dealt anew where a key is hot, one of an aggregate isn't
+    counts = written(posted.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "near-counts")
     shared = posted.join(counts, "key")
     # of a class's K postings those held by it alone are rarest and come first: they use up the prefix without being merged
     by_rep = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("p"))
@@ -312,7 +313,7 @@ def near_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     dealt = dealt.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     dealt = written(dealt, "near-dealt", most_rows=rows_of(prefix))
-    mixed = dealt.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    mixed = written(dealt.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "near-mixed")
     met = dealt.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "small", "keys")
     met = met.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
@@ -327,7 +328,7 @@ def near_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     ids = some.join(classes, ["c1", "c2"]).select("did", "rep").distinct()
     ties = ids.groupBy("did").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).where(F.size("all") > 1).select("a", F.explode("all").alias("b"))
     comps = components(links.unionByName(ties), 2 * (rows_of(links) + rows_of(sketches)))
-    discard(reps, prefix, texts, star, dealt, left)
+    discard(reps, counts, prefix, texts, star, dealt, mixed, left)
     named = ids.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("did", F.coalesce("component", "rep").alias("first")).distinct()
     out = sketches.select("did", "n_shingles").join(named, "did", "left")
     return out.select("did", "n_shingles", F.coalesce("first", "did").alias("first"))
