@@ -34,7 +34,7 @@ STARTS = 256
 #: Different pieces of one hash that one index may hold, and bytes of an index.
 HOT, INDEX_BYTES = 2000, 900_000
 #: How many of a window's smallest grams make its hash at each further level; None: the whole window.
-LEVELS = (6, 24, None)
+LEVELS = (8, 24, None)
 _TABLES = seeded(256, 21), seeded(256, 22)
 _POWERS = Powers(0x9E6C63D0676A9A99), Powers(0xC2B2AE3D27D4EB4F)
 
@@ -316,19 +316,48 @@ def marks_of(rows: list[tuple[int, int, bytes]], width: int) -> tuple[np.ndarray
     return ranges(did, start, start + width)
 
 
-def _bytes(width: int):
-    """(did, text, rest: array of struct(m, at)) to (m, did, start, bytes)."""
+def cut_by(body: bytes, width: int, grams: int | None) -> list[tuple[int, int, bytes]]:
+    """A piece cut where the hash of its windows' `grams` smallest grams changes, with None into windows: hash, place and bytes of each part."""
+    data = np.frombuffer(body, np.uint8)
+    total = sums(data, 0)
+    if grams is None:
+        a = np.arange(len(data) - width + 1)
+        key = spans(total, 0, a, a + width)
+    else:
+        each = grams_of(data, total)
+        low = np.sort(np.partition(np.lib.stride_tricks.sliding_window_view(each, width - GRAM + 1), grams - 1, axis=1)[:, :grams], axis=1)
+        key = np.zeros(len(low), np.uint64)
+        for j in range(grams):
+            key = splitmix(key + low[:, j])
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (grams is None)])).tolist()
+    return [(m, i, body[i : j + width - 1]) for m, i, j in zip(key[new].view(np.int64).tolist(), new, [*new[1:], len(key)], strict=True)]
+
+
+def _pieces_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else ((),) * 4
+    kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary()
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["m", "did", "start", "body"])
+
+
+def _bytes(width: int, grams: int | None, rows: int = 4096):
+    """(did, text, rest: array of struct(m, at, hot)) to (m, did, start, body); pieces of hot hashes are cut by finer ones at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple[int, int, int, bytes]] = []
             for did, text, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = text_bytes(text).tobytes()
-                m = rest.values.field("m").to_numpy()
                 start, count = _unpacked(rest.values.field("at").to_numpy())
-                for i in range(0, len(m), 4096):
-                    j = slice(i, i + 4096)
-                    body = [raw[a : a + c + width - 1] for a, c in zip(start[j].tolist(), count[j].tolist(), strict=True)]
-                    yield _batch("m did start body", m[j], np.full(len(body), did, np.int64), start[j], body)
+                for m, hot, a, c in zip(rest.values.field("m").to_pylist(), rest.values.field("hot").to_pylist(), start.tolist(), count.tolist(), strict=True):
+                    body = raw[a : a + c + width - 1]
+                    if hot:
+                        out += [(key, did, a + i, part) for key, i, part in cut_by(body, width, grams)]
+                    else:
+                        out.append((m, did, a, body))
+                    if len(out) >= rows:
+                        yield _pieces_batch(out)
+                        out = []
+            yield _pieces_batch(out)
 
     return run
 
@@ -380,29 +409,14 @@ _INDEXED = ["did", "a", "b", "body"]
 
 
 def _finer(width: int, grams: int | None):
-    """Pieces (did, a, body) cut where the hash of their windows' `grams` smallest grams changes, with None into windows: (m, did, start, body)."""
+    """Pieces (did, a, body) to their parts (m, did, start, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, bytes]] = []
+            out = []
             for did, start, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                data = np.frombuffer(body, np.uint8)
-                total = sums(data, 0)
-                if grams is None:
-                    a = np.arange(len(data) - width + 1)
-                    key = spans(total, 0, a, a + width)
-                else:
-                    each = grams_of(data, total)
-                    low = np.sort(np.partition(np.lib.stride_tricks.sliding_window_view(each, width - GRAM + 1), grams - 1, axis=1)[:, :grams], axis=1)
-                    key = np.zeros(len(low), np.uint64)
-                    for j in range(grams):
-                        key = splitmix(key + low[:, j])
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (grams is None)])).tolist()
-                for i, j in zip(new, [*new[1:], len(key)], strict=True):
-                    out.append((int(key[i].view(np.int64)), did, start + i, body[i : j + width - 1]))
-            cols = zip(*out, strict=True) if out else ((),) * 4
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.binary()
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["m", "did", "start", "body"])
+                out += [(m, did, start + i, part) for m, i, part in cut_by(body, width, grams)]
+            yield _pieces_batch(out)
 
     return run
 
@@ -471,9 +485,11 @@ def _removed(rows: DataFrame, width: int) -> DataFrame:
     found = found.repartition(n, "m").sortWithinPartitions("m", "ph", "did", "at")
     found = written(found.mapInArrow(_reduce(width), "did long, a long, b long, m long"), "suffix-marks")
     marks, rest = found.where("m is null").select("did", "a", "b"), found.where("m is not null").select("m", "did", F.col("a").alias("at"))
-    lists = rest.groupBy("did").agg(F.collect_list(F.struct("m", "at")).alias("rest"))
-    body = rows.join(lists, "did").select("did", "text", "rest").mapInArrow(_bytes(width), "m long, did long, start long, body binary")
-    for grams in (*LEVELS, None):  # after the last level nothing is hot
+    hot = written(rest.groupBy("m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).select("m"), "suffix-hot")
+    rest = rest.join(hot.withColumn("hot", F.lit(True)), "m", "left")
+    lists = rest.groupBy("did").agg(F.collect_list(F.struct("m", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("rest"))
+    body = rows.join(lists, "did").select("did", "text", "rest").mapInArrow(_bytes(width, LEVELS[0]), "m long, did long, start long, body binary")
+    for grams in (*LEVELS[1:], None):  # after the last level nothing is hot
         sorted_body = body.select("m", F.xxhash64("body").alias("bh"), "did", "start", "body").repartition(n, "m").sortWithinPartitions("m", "bh", "did", "start")
         indexed = written(sorted_body.mapInArrow(_index(width), "did long, a long, b long, body binary"), "suffix-indexed")
         marks = marks.unionByName(indexed.where("body is null").select("did", "a", "b"))
@@ -481,6 +497,8 @@ def _removed(rows: DataFrame, width: int) -> DataFrame:
         if over.isEmpty():
             break
         body = over.mapInArrow(_finer(width, grams), "m long, did long, start long, body binary")
+    else:
+        raise RuntimeError("different windows share a hash")
     by_doc = marks.groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
     out = rows.join(by_doc, "did", "left").select("did", "text", "marks")
     schema = "did long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

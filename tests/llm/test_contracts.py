@@ -125,7 +125,7 @@ def test_suffix_dedup(spark, corpus):
     assert out == brute.repeated_bytes(rows)
 
 
-@pytest.mark.parametrize("hot, levels", [(1, (6, 24, None)), (2, (1, None)), (3, (2, 69, None))])
+@pytest.mark.parametrize("hot, levels", [(1, (6, 24, None)), (2, (1, None)), (3, (2, 69, None)), (1, (None, None))])
 def test_suffix_dedup_hot_hashes(spark, corpus, monkeypatch, hot, levels):
     """Hashes with too many different pieces for one index are dealt by finer ones, with the same result."""
     from tessella.llm import suffix_dedup as S
