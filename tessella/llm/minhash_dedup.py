@@ -4,7 +4,8 @@
 2. Each class is posted under its K (coordinate, minimum) pairs. Pairs that agree in at least T coordinates share one of the K - T + 1
    rarest postings of each, so only these prefixes are merged, and postings held by one class are skipped altogether.
 3. Collisions are counted on one byte for each coordinate of a longer signature. A posting's classes first meet its most central member; those links are
-   confirmed on full sets and joined to components. Then classes of one posting that are still in different components meet in blocks;
+   confirmed on full sets and joined to components. Then classes of one posting that are still in different components meet in blocks, the
+   posting's largest component only with the others;
    those that have a partner with enough collisions get their full sets and all their pairs are decided there. Links inside a component
    would change nothing and are skipped, and pairs are never written out.
 
@@ -313,8 +314,15 @@ def near_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
     dealt = dealt.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     dealt = written(dealt, "near-dealt", most_rows=rows_of(prefix))
-    mixed = written(dealt.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "near-mixed")
-    met = dealt.join(mixed, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a posting's largest component is met by the rest of the posting, not by itself: near copies of one text cost no pairs of blocks
+    sizes = dealt.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    in_blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    mixed = written(mixed.select("key", F.col("top.component").alias("major"), in_blocks(F.col("all") - F.col("top.n")).alias("few"), in_blocks(F.col("top.n")).alias("many")), "near-mixed")
+    met, is_major = dealt.join(mixed, "key"), F.col("component") == F.col("major")
+    at = F.xxhash64("rep")
+    met = met.withColumn("block", F.when(is_major, F.col("few") + F.pmod(at, "many")).otherwise(F.pmod(at, "few")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(is_major, 0).otherwise(F.col("many")))))
     met = met.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "component", "small", "keys")
     met = met.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
     left = written(met.mapInArrow(_candidates(LEAST), "key long, x int, y int, rep long, component long"), "near-left")
