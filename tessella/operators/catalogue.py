@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
+from tessella.operators.ordered import running
+from tessella.sources.tables import written
 
 # The article types that count as footwear.
 FOOTWEAR = ("Casual-Shoes", "Sports-Shoes", "Sneakers", "Formal-Shoes", "Boots", "Sandals", "Sports-Sandals", "Flip-Flops", "Heels", "Flats")
@@ -99,26 +101,31 @@ def usable_items(views: DataFrame, least: int = 3, first: int | None = None) ->
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds place from 1 in an order that a hash of seed and key draws: the same on any cluster."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)))
+    return running(rows, [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key)])
+
+
+def first_drawn(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """The first n rows of that order, without ordering the others."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def hold_out(items: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(held, rest) of item_id, style_id: whole styles of the first n items drawn are held."""
-    styles = shuffled(items, "item_id", seed).where(F.col("place") <= n).select("style_id").distinct()
+    styles = first_drawn(items, "item_id", seed, n).select("style_id").distinct()
     return items.join(styles, "style_id", "left_semi"), items.join(styles, "style_id", "left_anti")
 
 
 def out_of_catalogue(items: DataFrame, n: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(picked, in_catalogue): the first n items drawn, and the items of other styles."""
-    picked = shuffled(items, "item_id", seed).where(F.col("place") <= n).drop("place")
+    picked = first_drawn(items, "item_id", seed, n)
     return picked, items.join(picked.select("style_id").distinct(), "style_id", "left_anti")
 
 
 def dev_test(items: DataFrame, seed: int) -> DataFrame:
     """Adds split: the first max(1, n / 4) items drawn are dev."""
-    n = Window.partitionBy()
-    placed = shuffled(items, "item_id", seed).withColumn("n", F.count(F.lit(1)).over(n))
-    return placed.withColumn("split", F.when(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("n") / 4)), "dev").otherwise("test")).drop("place", "n")
+    n = F.broadcast(items.agg(F.count(F.lit(1)).alias("__n")))  # one row
+    dev = F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("__n") / 4))
+    return shuffled(items, "item_id", seed).crossJoin(n).withColumn("split", F.when(dev, "dev").otherwise("test")).drop("place", "__n")
 
 
 def absent_items(wanted: DataFrame, indexed: DataFrame, styles: DataFrame) -> DataFrame:
@@ -131,14 +138,29 @@ def absent_items(wanted: DataFrame, indexed: DataFrame, styles: DataFrame) -> Da
 def resolve_titles(queries: DataFrame, titles: DataFrame, k: int = 3, least: float = 0.5, per_extra: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """query_id, text and item_id, text to (query_id, rank, item_id, score of the k best by token overlap; the queries whose best is below least).
 
-    Titles meet queries on a shared token; only pairs that share one are made, and their overlap is counted by grouping.
+    A title that scores s covers that share of the query's tokens at least, so it shares one of the query's rarest tokens, all but the
+    ceil(s * n) - 1 commonest. With s = least these find whether a query has a title, and its k-th best score among them; with that as s they
+    find its k best, exactly. So common words join nothing, but for queries of which fewer than k titles are near.
     """
-    q = queries.select("query_id", X.tokens(F.col("text")).alias("t")).select("query_id", F.size("t").alias("nq"), F.explode("t").alias("token"))
-    t = titles.select("item_id", X.tokens(F.col("text")).alias("t")).select("item_id", F.size("t").alias("nt"), F.explode("t").alias("token"))
-    pairs = t.join(q, "token").groupBy("query_id", "item_id").agg(F.count(F.lit(1)).alias("both"), F.first("nq").alias("nq"), F.first("nt").alias("nt"))
-    score = F.col("both") / F.col("nq") - F.lit(per_extra) * F.greatest(F.lit(0), F.col("nt") - F.col("nq"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    best = pairs.withColumn("score", score).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-    found = best.where("rank = 1").where(F.col("score") >= least).select("query_id")
-    return best.join(found, "query_id", "left_semi").select("query_id", "rank", "item_id", "score"), queries.select("query_id").join(found, "query_id", "left_anti")
-
+    t = titles.select("item_id", X.tokens(F.col("text")).alias("t"))
+    t = written(t.select("item_id", F.size("t").alias("nt"), "t"), "titles")
+    words = t.select("item_id", F.explode("t").alias("token"))
+    whole = queries.select("query_id", X.tokens(F.col("text")).alias("q")).withColumn("nq", F.size("q"))
+    asked = whole.select("query_id", "nq", F.explode("q").alias("token"))
+    counts = words.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    place = Window.partitionBy("query_id").orderBy(F.coalesce("c", F.lit(0)), "token")
+    asked = written(asked.join(counts, "token", "left").select("query_id", "nq", "token", F.row_number().over(place).alias("place")), "title-tokens")
+
+    def near(seeds: DataFrame, s: Column) -> DataFrame:
+        """Every title that scores s or more for a query, and others, with score and rank. seeds: asked, with what s needs."""
+        rare = seeds.where(F.col("place") <= F.col("nq") - F.ceil(F.col("nq") * s - 1e-9) + 1)
+        pairs = words.join(rare.select("query_id", "token"), "token").select("query_id", "item_id").distinct()
+        score = F.size(F.array_intersect("t", "q")) / F.col("nq") - F.lit(per_extra) * F.greatest(F.lit(0), F.col("nt") - F.col("nq"))
+        scored = pairs.join(t, "item_id").join(whole, "query_id").select("query_id", "item_id", score.alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+        return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+    first = near(asked, F.lit(least)).groupBy("query_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"), F.min("score").alias("last")).where(F.col("best") >= least)
+    found = written(first.select("query_id", F.when(F.col("n") < k, F.lit(0.0)).otherwise(F.greatest("last", F.lit(0.0))).alias("s")), "resolved")
+    best = near(asked.join(found, "query_id"), F.least(F.lit(1.0), F.greatest("s", 1 / F.col("nq"))))
+    return best.select("query_id", "rank", "item_id", "score"), queries.select("query_id").join(found, "query_id", "left_anti")

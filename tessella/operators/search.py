@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -42,71 +43,147 @@ def check_dimensions(query_dim: int, index_dim: int, whiten_in: int | None = Non
         raise ValueError(f"whitening maps {whiten_in} to {whiten_out} dimensions, queries have {query_dim} and the index {index_dim}")
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Queries in blocks of a bounded size: the stated side of the search."""
-    ids, rows, held = [], [], 0
-    for r in queries.select("query_id", "emb").orderBy("query_id").toLocalIterator():
-        ids.append(r[0])
-        rows.append(np.asarray(r[1], np.float64))
-        held += len(rows[-1])
+@dataclass(frozen=True)
+class Block:
+    """Queries that go out together: ids, vectors (one for each crop of a query), where each query's crops start, and own scores (NaN: none)."""
+
+    ids: np.ndarray
+    vectors: np.ndarray
+    starts: np.ndarray
+    own: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, np.ndarray, float]]) -> Block:
+        size = [len(r[1]) for r in rows]
+        return cls(np.array([r[0] for r in rows], np.int64), np.concatenate([r[1] for r in rows]), np.cumsum([0, *size[:-1]]), np.array([r[2] for r in rows]))
+
+    def scores(self, views: np.ndarray) -> np.ndarray:
+        """Views by queries: a query's best crop."""
+        s = views.astype(np.float64) @ self.vectors.T
+        return s if len(self.starts) == s.shape[1] else np.maximum.reduceat(s, self.starts, axis=1)
+
+
+def _blocks(queries: DataFrame) -> Iterator[Block]:
+    """Queries in blocks of a bounded size, the stated side of the search. emb is a vector or an array of crop vectors."""
+    own = F.coalesce(F.col("own").cast("double"), F.lit(float("nan"))) if "own" in queries.columns else F.lit(float("nan"))
+    rows, held = [], 0
+    for r in queries.select("query_id", "emb", own.alias("own")).toLocalIterator(prefetchPartitions=True):
+        rows.append((r[0], np.atleast_2d(np.asarray(r[1], np.float64)), r[2]))
+        held += rows[-1][1].size
         if held >= BLOCK_FLOATS:
-            yield ids, np.stack(rows)
-            ids, rows, held = [], [], 0
-    if ids:
-        yield ids, np.stack(rows)
+            yield Block.of(rows)
+            rows, held = [], 0
+    if rows:
+        yield Block.of(rows)
+
+
+def _finished(frames: Iterator[pd.DataFrame], block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Views sorted by item to whole items, batch by batch: ids, best scores (item by query) and the views that have them. Only the last item waits."""
+    wait: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    for f in frames:
+        if not len(f):
+            continue
+        f = f.sort_values(["item_id", "view_id"], kind="stable")
+        s = block.scores(np.stack(f["emb"].to_numpy()))
+        item, view = f["item_id"].to_numpy(), f["view_id"].to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
+        high = np.maximum.reduceat(s, start, axis=0)
+        who = np.maximum.reduceat(np.where(s == np.repeat(high, np.diff(np.append(start, len(item))), axis=0), view[:, None], np.iinfo(np.int64).min), start, axis=0)
+        item = item[start]
+        if wait is not None and wait[0][0] == item[0]:
+            who[0] = np.where(wait[1][0] > high[0], wait[2][0], np.where(wait[1][0] == high[0], np.maximum(wait[2][0], who[0]), who[0]))
+            high[0] = np.maximum(high[0], wait[1][0])
+        elif wait is not None:
+            yield wait
+        wait = item[-1:], high[-1:], who[-1:]
+        if len(item) > 1:
+            yield item[:-1], high[:-1], who[:-1]
+    if wait is not None:
+        yield wait
+
+
+def _best(parts: list, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole items all that any query ranks in its best `top`, in order of id."""
+    item, high, who = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(item, kind="stable")
+    item, high, who = item[order], high[order], who[order]
+    if len(item) <= top:
+        return item, high, who
+    keep = np.unique(np.argsort(-high, axis=0, kind="stable")[:top])
+    return item[keep], high[keep], who[keep]
+
+
+def _frame(ids, item, high, who, rows, col) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": ids[col], "item_id": item[rows], "score": high[rows, col], "best_view": who[rows, col]})
 
 
 def _scorer(block, top: int | None, least: float | None = None):
     """Views (item_id, view_id, emb), all of an item in one partition, to each query's best items of the partition, or those of at least `least`."""
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = block.value
-        items: list[np.ndarray] = []
-        best: list[np.ndarray] = []
-        views: list[np.ndarray] = []
-        for f in frames:
-            if not len(f):
+        ids, parts = block.value.ids, []
+        for item, high, who in _finished(frames, block.value):
+            if top is None:
+                yield _frame(ids, item, high, who, *(np.nonzero(high >= least) if least is not None else np.indices(high.shape).reshape(2, -1)))
                 continue
-            f = f.sort_values(["item_id", "view_id"], kind="stable")
-            s = np.stack(f["emb"].to_numpy()).astype(np.float64) @ q.T
-            item, view = f["item_id"].to_numpy(), f["view_id"].to_numpy()
-            start = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-            high = np.maximum.reduceat(s, start, axis=0)
-            who = np.maximum.reduceat(np.where(s == np.repeat(high, np.diff(np.append(start, len(item))), axis=0), view[:, None], np.iinfo(np.int64).min), start, axis=0)
-            items.append(item[start])
-            best.append(high)
-            views.append(who)
-            if top is not None and sum(map(len, items)) > 4 * top + 1024:
-                items, best, views = _trim(*_fold(items, best, views), top)
-        if items:
-            item, high, who = _fold(items, best, views)
-            n = len(item)
-            if least is not None:
-                rows, col = np.nonzero(high >= least)
-                yield pd.DataFrame({"query_id": np.asarray(ids)[col], "item_id": item[rows], "score": high[rows, col], "best_view": who[rows, col]})
-                return
-            rows = np.argsort(-high, axis=0, kind="stable")[:top].T.ravel() if top is not None and n > top else np.tile(np.arange(n), len(ids))
-            col = np.repeat(np.arange(len(ids)), len(rows) // len(ids))
-            yield pd.DataFrame({"query_id": np.asarray(ids)[col], "item_id": item[rows], "score": high[rows, col], "best_view": who[rows, col]})
+            parts.append((item, high, who))
+            if sum(len(p[0]) for p in parts) > 4 * top + 1024:
+                parts = [_best(parts, top)]
+        if parts:
+            item, high, who = _best(parts, top)
+            rows = np.argsort(-high, axis=0, kind="stable")[:top]
+            yield _frame(ids, item, high, who, rows.T.ravel(), np.repeat(np.arange(len(ids)), len(rows)))
 
     return score
 
 
-def _fold(items, best, views):
-    """Joins an item's parts from several batches."""
-    item, high, who = np.concatenate(items), np.concatenate(best), np.concatenate(views)
-    order = np.argsort(item, kind="stable")
-    item, high, who = item[order], high[order], who[order]
-    start = np.flatnonzero(np.concatenate([[True], item[1:] != item[:-1]]))
-    top = np.maximum.reduceat(high, start, axis=0)
-    n = np.diff(np.append(start, len(item)))
-    return item[start], top, np.maximum.reduceat(np.where(high == np.repeat(top, n, axis=0), who, np.iinfo(np.int64).min), start, axis=0)
+def _summariser(block, top: int):
+    """Views to a row for each query: how many items, the sum and squares of their scores, how many are above its own score, and its best items."""
+
+    def summarise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, own = block.value.ids, block.value.own
+        n, parts = 0, []
+        total, squares, above = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+        for item, high, who in _finished(frames, block.value):
+            n += len(item)
+            total += high.sum(axis=0)
+            squares += (high * high).sum(axis=0)
+            above += (high > own).sum(axis=0)
+            parts.append((item, high, who))
+            if sum(len(p[0]) for p in parts) > 4 * top + 1024:
+                parts = [_best(parts, top)]
+        if n:
+            item, high, _ = _best(parts, top)
+            rows = np.argsort(-high, axis=0, kind="stable")[:top]
+            best = [[{"score": float(high[r, c]), "item_id": int(item[r])} for r in rows[:, c]] for c in range(len(ids))]
+            yield pd.DataFrame({"query_id": ids, "n": n, "total": total, "squares": squares, "above": above, "best": best})
+
+    return summarise
+
 
+def _dealt(views: DataFrame) -> DataFrame:
+    return views.select(F.col("item_id").cast("long"), F.col("view_id").cast("long"), "emb").repartition("item_id").sortWithinPartitions("item_id", "view_id")
 
-def _trim(item, high, who, top):
-    """Only finished items could be dropped; the last may still grow, so all that any query ranks in its best are held, and the last."""
-    keep = np.unique(np.concatenate([np.argsort(-high, axis=0, kind="stable")[:top].ravel(), [len(item) - 1]]))
-    return [item[keep]], [high[keep]], [who[keep]]
+
+def summary(queries: DataFrame, views: DataFrame, top: int = 100) -> DataFrame:
+    """query_id, n, total, squares, above and best (its `top` items, best first, as struct(score, item_id)) over all items, a row for each query.
+
+    Scores of all pairs are summed where they are made and never become rows: a task returns one row for each query. queries: query_id, emb and,
+    for above, own: a score, whose count of strictly higher items it is.
+    """
+    spark, out = views.sparkSession, None
+    ship(spark)
+    dealt = _dealt(views)
+    schema = "query_id long, n long, total double, squares double, above long, best array<struct<score: double, item_id: long>>"
+    for block in _blocks(queries):
+        found = dealt.mapInPandas(_summariser(spark.sparkContext.broadcast(block), top), schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    sums = out.groupBy("query_id").agg(*[F.sum(c).alias(c) for c in ("n", "total", "squares", "above")], F.flatten(F.collect_list("best")).alias("best"))
+    order = F.transform("best", lambda x: F.struct((-x["score"]).alias("down"), x["item_id"].alias("item_id"), x["score"].alias("score")))
+    best = F.transform(F.slice(F.array_sort(order), 1, top), lambda x: F.struct(x["score"].alias("score"), x["item_id"].alias("item_id")))
+    return sums.withColumn("best", best)
 
 
 def item_scores(queries: DataFrame, views: DataFrame, top: int | None = None, least: float | None = None) -> DataFrame:
@@ -118,7 +195,7 @@ def item_scores(queries: DataFrame, views: DataFrame, top: int | None = None, le
     """
     spark = views.sparkSession
     ship(spark)
-    dealt = views.select(F.col("item_id").cast("long"), F.col("view_id").cast("long"), "emb").repartition("item_id").sortWithinPartitions("item_id", "view_id")
+    dealt = _dealt(views)
     out = None
     for block in _blocks(queries):
         found = dealt.mapInPandas(_scorer(spark.sparkContext.broadcast(block), top, least), "query_id long, item_id long, score double, best_view long")
@@ -139,20 +216,36 @@ def search(queries: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
 
 
 def search_sql(queries: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
-    """The same in built-in expressions, for a query set of at most SMALL rows (it is the broadcast side)."""
-    if len(queries.select("query_id").take(SMALL + 1)) > SMALL:
-        raise ValueError(f"more than {SMALL} queries: use search")
-    pairs = views.crossJoin(F.broadcast(queries.select("query_id", F.col("emb").alias("q_emb"))))
-    scored = pairs.select("query_id", "item_id", F.struct(dot(F.col("q_emb"), F.col("emb")).alias("score"), "view_id").alias("s"))
-    best = scored.groupBy("query_id", "item_id").agg(F.max("s").alias("s"))
-    return ranked(best.select("query_id", "item_id", F.col("s.score").alias("score"), F.col("s.view_id").alias("best_view")), k)
+    """The same in built-in expressions: queries go out in blocks of about SMALL rows, dealt by hash, each broadcast against the views."""
+    blocks = max(1, -(-queries.count() // SMALL))
+    found = None
+    for i in range(blocks):
+        block = queries.select("query_id", F.col("emb").alias("q_emb")).where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = views.crossJoin(F.broadcast(block)).select("query_id", "item_id", F.struct(dot(F.col("q_emb"), F.col("emb")).alias("score"), "view_id").alias("s"))
+        best = scored.groupBy("query_id", "item_id").agg(F.max("s").alias("s"))
+        found = best if found is None else found.unionByName(best)
+    return ranked(found.select("query_id", "item_id", F.col("s.score").alias("score"), F.col("s.view_id").alias("best_view")), k)
+
 
+def one_vector(queries: DataFrame) -> DataFrame:
+    """Queries with a row for each of their vectors, where emb is an array of crop vectors."""
+    return queries.withColumn("emb", F.explode("emb")) if queries.schema["emb"].dataType.simpleString().startswith("array<array") else queries
 
-def rank_of_truth(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """query_id, item_id (the truth) and rank: one more than the items that score strictly higher."""
-    own = scores.join(truth.select("query_id", "item_id"), ["query_id", "item_id"]).select("query_id", F.col("score").alias("own"), F.col("item_id").alias("truth"))
-    above = scores.join(own, "query_id").groupBy("query_id", "truth").agg((F.sum((F.col("score") > F.col("own")).cast("long")) + 1).alias("rank"))
-    return above.select("query_id", F.col("truth").alias("item_id"), "rank")
+
+def own_scores(queries: DataFrame, views: DataFrame) -> DataFrame:
+    """query_id and own, the score of the query's own item (queries: query_id, item_id, emb), by a join on the item; queries whose item isn't there are left out."""
+    pairs = one_vector(queries).select("query_id", "item_id", F.col("emb").alias("q_emb")).join(views.select("item_id", "emb"), "item_id")
+    return pairs.groupBy("query_id").agg(F.max(dot(F.col("q_emb"), F.col("emb"))).alias("own"))
+
+
+def rank_of_truth(queries: DataFrame, views: DataFrame, tie: float = 1e-9) -> DataFrame:
+    """query_id, item_id (the truth) and rank: one more than the items that score higher by more than `tie`, which is below any rounding of two ways to sum.
+
+    queries: query_id, item_id, emb. The truth's score comes first, by a join; higher ones are counted where they are made.
+    """
+    known = queries.join(own_scores(queries, views), "query_id").withColumn("own", F.col("own") + F.lit(tie))
+    found = summary(known, views, 1).select("query_id", (F.col("above") + 1).alias("rank"))
+    return queries.select("query_id", "item_id").join(found, "query_id")
 
 
 def best_over_crops(crop_scores: DataFrame) -> DataFrame:
@@ -166,12 +259,14 @@ def crops_of(queries: DataFrame, localised: bool) -> DataFrame:
     return queries.withColumn("crop", F.explode(F.array(*[F.lit(n) for n in names])))
 
 
+def by_query(crops: DataFrame) -> DataFrame:
+    """Crop vectors (query_id, crop, emb; two or three of them) as one query each, whose score for an item is its best crop's."""
+    return crops.groupBy("query_id").agg(F.collect_list("emb").alias("emb"))
+
+
 def lookup(crops: DataFrame, views: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, item_id and score from crop vectors (query_id, crop, emb): search each crop, best crop for an item."""
-    keyed = crops.withColumn("crop_key", F.xxhash64("query_id", "crop"))
-    found = item_scores(keyed.select(F.col("crop_key").alias("query_id"), "emb"), views)
-    named = found.withColumnRenamed("query_id", "crop_key").join(keyed.select("crop_key", "query_id"), "crop_key")
-    return ranked(best_over_crops(named), k)
+    """query_id, rank, item_id and score from crop vectors (query_id, crop, emb): the best crop counts for an item."""
+    return search(by_query(crops), views, k).select("query_id", "rank", "item_id", "score")
 
 
 def as_record(results: DataFrame) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.ordered import running
 from tessella.operators.search import ship
 
 NAN = float("nan")
@@ -34,29 +35,48 @@ def median_or_nan(x: Column) -> Column:
 
 
 def latency(rows: DataFrame, value: str = "latency_ms") -> DataFrame:
-    """n, median, and the value at place int(0.9 n) from 0. Exact percentiles by counting equal values first."""
-    p90 = F.element_at(F.array_sort(F.collect_list(value)), F.least(F.floor(F.count(value) * 0.9) + 1, F.count(value)).cast("int"))
-    return rows.agg(F.count(value).alias("n"), F.median(value).alias("median"), p90.alias("p90"))
+    """n, median, and the value at place int(0.9 n) from 0: exact, from running counts of the distinct values."""
+    g = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    n = g.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    upto = running(g, [F.col("v")], {"upto": "c"}).crossJoin(F.broadcast(n))  # one row
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))  # noqa: E731  the value at a place from 0
+    last = F.col("n") - 1
+    out = upto.agg(((at(F.floor(last / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"), at(F.least(F.floor(F.col("n") * 0.9), last)).alias("p90"))
+    return n.crossJoin(out)
 
 
-def draw(replicate: Column, place: Column, n: Column, salt: str = "") -> Column:
-    """A hash draw from 0 to n - 1: equal on every engine that has md5."""
-    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(salt), replicate.cast("string"), place.cast("string"))), 1, 8), 16, 10).cast("long"), n)
+def draw(replicate: Column, place: Column, salt: str = "") -> Column:
+    """A uniform hash draw in (0, 1) for a cluster in a replicate: equal on every engine that has md5."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(salt), replicate.cast("string"), place.cast("string"))), 1, 8), 16, 10).cast("double")
+    return (bits + F.lit(0.5)) / F.lit(float(1 << 32))
 
 
-def cluster_bootstrap(rows: DataFrame, value: str, group: str, n_boot: int = 1000, alpha: float = 0.05, salt: str = "b") -> DataFrame:
-    """point, lo, hi, n of a mean: whole clusters are drawn with replacement, a replicate's mean is over its rows.
+#: How often a cluster is drawn, as a step function of a uniform draw: P(Poisson(1) <= k), up to where 32 bits end.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
 
-    Clusters are summed first; a replicate then draws (sum, n) pairs. Rows without a group are the cluster -1. Empty input: NaN, n = 0.
+
+def times_drawn(u: Column) -> Column:
+    out = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        out = F.when(u <= POISSON[k], F.lit(k)).otherwise(out)
+    return out
+
+
+def replicates(cells: DataFrame, n_boot: int, salt: str) -> DataFrame:
+    """Each row of cells (g: its cluster) once for each replicate b that draws its cluster, with times. Rows stream into a partial sum by b; draws need no order."""
+    each = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    return each.withColumn("times", times_drawn(draw(F.col("b"), F.col("g"), salt))).where("times > 0")
+
+
+def cluster_bootstrap(rows: DataFrame, value: str, group: str, n_boot: int = 10_000, alpha: float = 0.05, salt: str = "b") -> DataFrame:
+    """point, lo, hi, n of a mean: whole clusters are drawn, a replicate's mean is over its rows.
+
+    Clusters are summed first; each enters a replicate Poisson(1) times, the limit of drawing as many as there are with replacement, so that no
+    cluster needs a place in an order. Rows without a group are the cluster -1. Empty input: NaN, n = 0.
     """
     g = rows.groupBy(F.coalesce(F.col(group).cast("long"), F.lit(-1)).alias("g")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
-    g = g.withColumn("place", F.row_number().over(Window.orderBy("g")) - 1).withColumn("n_groups", F.count(F.lit(1)).over(Window.partitionBy()))
-    spark = rows.sparkSession
-    picks = spark.range(n_boot).withColumnRenamed("id", "b").crossJoin(F.broadcast(g.agg(F.count(F.lit(1)).alias("n_groups"))))
-    picks = picks.where("n_groups > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_groups") - 1)))
-    picks = picks.select("b", draw(F.col("b"), F.col("i"), F.col("n_groups"), salt).alias("place"))
-    means = picks.join(g.select("place", "s", "n"), "place").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
-    ends = means.agg(F.percentile("m", [alpha / 2, 1 - alpha / 2]).alias("q"))
+    means = replicates(g, n_boot, salt).groupBy("b").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("m"))
+    ends = means.agg(F.percentile("m", [alpha / 2, 1 - alpha / 2]).alias("q"))  # n_boot rows
     point = g.agg((F.sum("s") / F.sum("n")).alias("point"), F.sum("n").alias("n"))
     nan = lambda c: F.coalesce(c, F.lit(NAN))
     return point.crossJoin(ends).select(nan("point").alias("point"), nan(F.get("q", F.lit(0))).alias("lo"), nan(F.get("q", F.lit(1))).alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
@@ -113,8 +133,7 @@ def auroc(rows: DataFrame, score: str = "score", positive: str = "positive") ->
     Equal scores are counted together first, so the ordered table has a row for each distinct score.
     """
     g = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy("s")) - F.col("n")
-    r = g.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    r = running(g, [F.col("s")], {"upto": "n"}).withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0)
     t = r.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"))
     pos, neg = F.coalesce("n_pos", F.lit(0)), F.coalesce("n_neg", F.lit(0))
     area = (F.col("r") - pos * (pos + 1) / 2.0) / (pos * neg)
@@ -123,14 +142,13 @@ def auroc(rows: DataFrame, score: str = "score", positive: str = "positive") ->
 
 def risk_curve(rows: DataFrame, confidence: str = "confidence", correct: str = "correct", key: str = "id") -> DataFrame:
     """id, place, coverage and risk when answers are given in order of confidence, ties by id; and the risk of the best possible order."""
-    e = 1.0 - F.col(correct).cast("double")
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    by = Window.orderBy(F.desc(confidence), key)
-    best = Window.orderBy(F.desc(F.col(correct).cast("int")), key)
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("place", F.row_number().over(by).cast("long")).withColumn("coverage", F.col("place") / n)
-    out = out.withColumn("risk", F.sum(e).over(upto(by)) / F.col("place"))
-    return out.withColumn("oracle_risk", F.sum(e).over(upto(best)) / F.row_number().over(best)).select(F.col(key).alias("id"), "place", "coverage", "risk", "oracle_risk")
+    right = F.col(correct).cast("long")
+    rows = rows.select(F.col(key).alias("id"), F.col(confidence).alias("confidence"), right.alias("right"), (1 - right).alias("wrong"))
+    totals = F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("right").alias("n_right")))  # one row
+    out = running(rows, [(F.col("confidence"), True), F.col("id")], {"errors": "wrong"}).select("id", "right", "place", "errors")
+    best = running(out, [(F.col("right"), True), F.col("id")], {}, "best_place").crossJoin(totals)
+    lost = F.greatest(F.lit(0), F.col("best_place") - F.col("n_right"))  # in the best order all errors come last
+    return best.select("id", "place", (F.col("place") / F.col("n")).alias("coverage"), (F.col("errors") / F.col("place")).alias("risk"), (lost / F.col("best_place")).alias("oracle_risk"))
 
 
 def aurc(rows: DataFrame, confidence: str = "confidence", correct: str = "correct", key: str = "id") -> DataFrame:
@@ -170,53 +188,48 @@ def condition_cells(rows: DataFrame, conditions: list[str], correct: str, group:
     return rows.groupBy(F.coalesce(F.col(group).cast("long"), F.lit(-1)).alias("g"), mask.alias("mask"), F.col(correct).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def marginal_effects(rows: DataFrame, conditions: list[str], correct: str = "correct", group: str = "item_id", l2: float = 1.0, n_boot: int = 1000, salt: str = "m") -> DataFrame:
+def marginal_effects(rows: DataFrame, conditions: list[str], correct: str = "correct", group: str = "item_id", l2: float = 1.0, n_boot: int = 2000, salt: str = "m") -> DataFrame:
     """condition, log_odds, lo, hi, marginal_pp, n: L2 logistic regression of correctness on condition indicators.
 
-    Intervals come from redrawing items; replicates of one class are left out, and fewer than 21 give none. marginal_pp is the average change of
-    the predicted probability, in points, when a condition is switched on. The table of (item, pattern, outcome) counts is evaluation data; it
-    goes to the tasks once, replicates run in parallel.
+    Intervals come from redrawing items (see cluster_bootstrap); replicates of one class are left out, and fewer than 21 give none. marginal_pp is the
+    average change of the predicted probability, in points, when a condition is switched on. A fit needs only the counts of each pattern of
+    conditions and outcome, at most two for each pattern whatever the number of rows; replicates are summed to such counts and fitted in parallel.
     """
-    ship(rows.sparkSession)
     spark = rows.sparkSession
-    cells = condition_cells(rows, conditions, correct, group).toPandas()
+    ship(spark)
+    cells = condition_cells(rows, conditions, correct, group)
+    whole = cells.groupBy("mask", "y").agg(F.sum("n").alias("n")).orderBy("mask", "y").collect()  # two rows for each pattern
     schema = "condition string, log_odds double, lo double, hi double, marginal_pp double, n long"
-    if len(cells) == 0 or cells["y"].nunique() < 2:
+    if len({r.y for r in whole}) < 2:
         return spark.createDataFrame([(c, NAN, NAN, NAN, NAN, 0) for c in conditions], schema)
-    x = np.array([[float(v) for v in m] for m in cells["mask"]])
-    y, n = cells["y"].to_numpy(float), cells["n"].to_numpy(float)
-    code, groups = pd.factorize(cells["g"], sort=True)
+    x, y, n = _cells([r.mask for r in whole], [r.y for r in whole], [r.n for r in whole])
     base = logistic(x, y, l2, n)
-    held = spark.sparkContext.broadcast((x, y, n, code, len(groups)))
-
-    def replicate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y, n, code, g = held.value
-        for f in frames:
-            out = []
-            for b in f["id"]:
-                times = np.bincount(np.random.default_rng([hash_seed(salt), int(b)]).integers(0, g, g), minlength=g)
-                w = n * times[code]
-                live = w > 0
-                if len(np.unique(y[live])) == 2:
-                    out.append((int(b), logistic(x[live], y[live], l2, w[live])[1:].tolist()))
-            yield pd.DataFrame(out, columns=["b", "coef"])
-
-    boot = [r.coef for r in spark.range(n_boot).repartition(8).mapInPandas(replicate, "b long, coef array<double>").orderBy("b").collect()]  # n_boot rows
+
+    def replicate(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["mask", "y"])
+        if f["y"].nunique() < 2:
+            return pd.DataFrame({"place": [], "coef": []})
+        coef = logistic(*_cells(f["mask"], f["y"], f["n"], l2))[1:]
+        return pd.DataFrame({"place": np.arange(len(coef)), "coef": coef})
+
+    drawn = replicates(cells, n_boot, salt).groupBy("b", "mask", "y").agg(F.sum(F.col("times") * F.col("n")).alias("n"))
+    boot = drawn.groupBy("b").applyInPandas(replicate, "place long, coef double")
+    ends = {r.place: (r.q, r.c) for r in boot.groupBy("place").agg(F.percentile("coef", [0.025, 0.975]).alias("q"), F.count(F.lit(1)).alias("c")).collect()}  # a row for each condition
     out = []
     for i, c in enumerate(conditions):
-        lo, hi = np.percentile([v[i] for v in boot], [2.5, 97.5]) if len(boot) > 20 else (NAN, NAN)
+        (lo, hi), fits = ends.get(i, ((NAN, NAN), 0))
         on, off = x.copy(), x.copy()
         on[:, i], off[:, i] = 1.0, 0.0
         p = lambda a: 1 / (1 + np.exp(-(base[0] + a @ base[1:])))
         change = float(((p(on) - p(off)) * n).sum() / n.sum() * 100)
-        out.append((c, float(base[1 + i]), float(lo), float(hi), change, int((x[:, i] * n).sum())))
+        out.append((c, float(base[1 + i]), float(lo) if fits > 20 else NAN, float(hi) if fits > 20 else NAN, change, int((x[:, i] * n).sum())))
     return spark.createDataFrame(out, schema)
 
 
-def hash_seed(text: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big")
+def _cells(mask, y, n, l2: float | None = None) -> tuple:
+    """Arguments of logistic from patterns, outcomes and counts."""
+    x, y, n = np.array([[float(v) for v in m] for m in mask]), np.asarray(y, float), np.asarray(n, float)
+    return (x, y, n) if l2 is None else (x, y, l2, n)
 
 
 def dose_response(rows: DataFrame, count: str, correct: str = "correct") -> tuple[float, DataFrame]:

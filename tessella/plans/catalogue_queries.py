@@ -92,8 +92,7 @@ def search_best_view(spark, d):
 
 @query(LABEL + "SELECT a.query_id, a.truth AS item_id, 1 + sum((b.score > a.score)::BIGINT)::BIGINT AS rank FROM s a JOIN s b USING (query_id) WHERE a.item_id = a.truth GROUP BY ALL")
 def rank_of_truth(spark, d):
-    q, s = scores(spark, d)
-    return search.rank_of_truth(s, q)
+    return search.rank_of_truth(*vectors(spark, d))
 
 
 @query(LABEL + "SELECT count(*)::BIGINT AS n, round(avg((t <= 1)::INT), 6) AS r1, round(avg((t <= 5)::INT), 6) AS r5, round(avg(score), 6) AS top_mean FROM (SELECT query_id, coalesce(min(rank) FILTER (item_id = truth), 1000000) AS t, max(score) AS score FROM k GROUP BY query_id)")
@@ -123,8 +122,7 @@ w AS (SELECT query_id, exp((score - max(score) OVER (PARTITION BY query_id)) / 0
 h AS (SELECT query_id, -sum((w / (z + 1e-12)) * ln(w / (z + 1e-12) + 1e-12)) AS h FROM (SELECT query_id, w, sum(w) OVER (PARTITION BY query_id) AS z FROM w) GROUP BY query_id)
 SELECT query_id, round(s1, 6) AS s1, round(s1 - s2, 6) AS margin_12, round(s1 / (s2 + 1e-9), 6) AS ratio_12, round(s1 - m10, 6) AS s1_minus_mean10, round(s1 - m100, 6) AS s1_minus_mean100, round((s1 - mu) / (sd + 1e-9), 6) AS zscore_q, round(sd10, 6) AS std_top10, round(h, 6) AS entropy_top10 FROM t JOIN a USING (query_id) JOIN h USING (query_id)""")
 def score_features(spark, d):
-    _, s = scores(spark, d, "quad")
-    f = confidence.score_features(s)
+    f = confidence.search_features(*vectors(spark, d, "quad"))
     return f.select("query_id", *[r6(c).alias(c) for c in f.columns if c != "query_id"])
 
 
@@ -132,9 +130,9 @@ def score_features(spark, d):
 c AS (SELECT query_id, max(score) AS mx, avg(score) AS mean FROM z WHERE rn <= 10 GROUP BY query_id)
 SELECT query_id, round(mx, 6) AS distractor_max, round(s1 - mx, 6) AS s1_minus_distractor_max, round(s1 - mean, 6) AS s1_minus_distractor_mean10 FROM b JOIN c USING (query_id)""")
 def distractor_features(spark, d):
-    _, s = scores(spark, d)
-    best = s.where("item_id < 8").groupBy("query_id").agg(F.max("score").alias("s1"))
-    f = confidence.distractor_features(best, s.where("item_id >= 8"))
+    q, v = vectors(spark, d)
+    best = search.search(q, v.where("item_id < 8"), 1).select("query_id", F.col("score").alias("s1"))
+    f = confidence.distractor_features(best, search.search(q, v.where("item_id >= 8"), 10))
     return f.select("query_id", *[r6(c).alias(c) for c in f.columns if c != "query_id"])
 
 
@@ -161,11 +159,9 @@ def crop_lookup(spark, d):
 SELECT cb.query_id, round(avg((cb.item_id = fb.item_id)::INT), 6) AS crop_agreement FROM cb JOIN fb USING (query_id) WHERE cb.rn = 1 AND fb.rn = 1 GROUP BY cb.query_id""")
 def crop_agreement(spark, d):
     crops, views = crop_tables(spark, d)
-    keyed = crops.withColumn("key", F.expr("query_id * 10 + crop"))
-    per = search.item_scores(keyed.select(F.col("key").alias("query_id"), "emb"), views).select(F.expr("query_id div 10").alias("query_id"), F.expr("query_id % 10").alias("crop"), "item_id", "score")
-    by = Window.partitionBy("query_id", "crop").orderBy(F.desc("score"), "item_id")
-    crop_best = per.withColumn("rn", F.row_number().over(by)).where("rn = 1")
-    final = search.ranked(search.best_over_crops(per), 1)
+    keyed = crops.select(F.expr("query_id * 10 + crop").alias("query_id"), "emb")
+    crop_best = search.search(keyed, views, 1).withColumn("query_id", F.expr("query_id div 10"))
+    final = search.lookup(crops, views, 1)
     return confidence.crop_agreement(crop_best, final).select("query_id", r6("crop_agreement").alias("crop_agreement"))
 
 
@@ -441,6 +437,10 @@ def manifest_summary(spark, d):
     )
 
 
+#: Replicates of the bootstrap query.
+BOOT = 10_000
+
+
 def judged_events(spark, d):
     return read(spark, d, "events").withColumn("correct", F.col("value") > 50)
 
@@ -451,12 +451,13 @@ def wilson_by_type(spark, d):
     return S.accuracy(judged_events(spark, d), "event_type").select("event_type", "n", "k", *[r6(c).alias(c) for c in ("acc", "lo", "hi")])
 
 
-@query("""WITH g AS (SELECT user_id AS g, sum((value > 50)::INT)::DOUBLE AS s, count(*) AS n FROM events GROUP BY user_id), r AS (SELECT row_number() OVER (ORDER BY g) - 1 AS place, s, n FROM g), c AS (SELECT count(*) AS m FROM r),
-p AS (SELECT b, ('0x' || substr(md5('b-' || b || '-' || i), 1, 8))::BIGINT % m AS place FROM c, range(200) x(b), (SELECT unnest(range((SELECT m FROM c))) AS i)),
-t AS (SELECT b, sum(s) / sum(n) AS m FROM p JOIN r USING (place) GROUP BY b)
-SELECT round((SELECT sum(s) / sum(n) FROM r), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT sum(n) FROM r)::BIGINT AS n FROM t""")
+@query(f"""WITH g AS (SELECT user_id AS g, sum((value > 50)::INT)::DOUBLE AS s, count(*) AS n FROM events GROUP BY user_id),
+p AS (SELECT b, s, n, (('0x' || substr(md5('b-' || b || '-' || g), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u FROM g, range({BOOT}) x(b)),
+w AS (SELECT *, len(list_filter([{", ".join(f"{x!r}::DOUBLE" for x in S.POISSON)}], lambda c: u > c)) AS times FROM p),
+t AS (SELECT b, sum(times * s) / sum(times * n) AS m FROM w WHERE times > 0 GROUP BY b)
+SELECT round((SELECT sum(s) / sum(n) FROM g), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT sum(n) FROM g)::BIGINT AS n FROM t""")
 def cluster_bootstrap(spark, d):
-    out = S.cluster_bootstrap(judged_events(spark, d), "correct", "user_id", 200)
+    out = S.cluster_bootstrap(judged_events(spark, d), "correct", "user_id", BOOT)
     return out.select(*[r6(c).alias(c) for c in ("point", "lo", "hi")], "n")
 
 
@@ -495,7 +496,7 @@ def marginal_effects(spark, d):
     rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").withColumn("correct", F.col("quality") == 1)
     marks = F.array_compact(F.array(F.when(F.col("n_chars") > 1000, "long"), F.when(F.col("text").contains("\n"), "lines"), F.when(F.col("lang") == "en", "english")))
     rows = rows.withColumn("conditions", marks).withColumn("item_id", F.xxhash64("source"))
-    out = S.marginal_effects(rows, ["long", "lines", "english"], n_boot=200)
+    out = S.marginal_effects(rows, ["long", "lines", "english"])
     return out.select("condition", *[F.round(c, 4).alias(c) for c in ("log_odds", "lo", "hi", "marginal_pp")], "n")
 
 
@@ -644,7 +645,7 @@ def evaluation_report(spark, d):
     results = evaluate.photo_results(photos, q.select("query_id", "emb"), v.where("item_id < 8"))
     from tessella.sources.tables import written
 
-    r = evaluate.evaluate(written(results, "results"), n_boot=50)
+    r = evaluate.evaluate(written(results, "results"))
     rows = [(f"{t}.{k}", float(b["point"])) for t in ("hard", "clean") if t in r for k, b in r[t].items() if isinstance(b, dict)]
     rows += [("refusal.auroc", float(r["refusal"]["auroc"])), ("risk.aurc", float(r["risk_coverage"]["aurc"])), ("gap.p", float(r.get("gap_paired", {}).get("p_value", float("nan"))))]
     return spark.createDataFrame([(k, round(x, 6)) for k, x in rows], "figure string, value double")
