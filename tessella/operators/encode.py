@@ -33,6 +33,44 @@ class Encoder:
 REGISTRY: dict[str, Encoder] = {}
 
 
+def device() -> str:
+    """What a model in this task runs on: the accelerator that Spark gave the task, else the CPU."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    gpu = task.resources().get("gpu") if task else None
+    return f"cuda:{gpu.addresses[0]}" if gpu and gpu.addresses else "cpu"
+
+
+def profile(spark, gpus: float = 0.0, cores: int = 1):
+    """A resource profile for encoding stages: a share of an accelerator for each task; None where none is asked for, so that any executor serves."""
+    if not gpus:
+        return None
+    from pyspark.resource import ExecutorResourceRequests, ResourceProfileBuilder, TaskResourceRequests
+
+    wanted = ExecutorResourceRequests().cores(cores).resource("gpu", max(1, int(gpus)))
+    return ResourceProfileBuilder().require(wanted).require(TaskResourceRequests().cpus(1).resource("gpu", gpus)).build
+
+
+def corrupted(images: DataFrame, seed: int, recipe=I.sample_recipe) -> DataFrame:
+    """query_id, image to the same with recipe (names and severities drawn by query_id and seed) and the image that it makes."""
+    ship(images.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for q, row in zip(f["query_id"], f["image"], strict=True):
+                rng = np.random.default_rng([seed, int(q) & (2**63 - 1)])
+                steps = recipe(rng)
+                img = I.from_struct(row)
+                for name, severity in steps:
+                    img = I.CORRUPTIONS[name](img, I.STRENGTH[name][severity - 1], rng)
+                rows.append((int(q), "|".join(f"{n}:{v}" for n, v in steps), I.to_struct(img)))
+            yield pd.DataFrame(rows, columns=["query_id", "recipe", "image"])
+
+    return images.where(F.col("image").isNotNull()).select("query_id", "image").mapInPandas(run, f"query_id long, recipe string, image {images.schema['image'].dataType.simpleString()}")
+
+
 def register(encoder: Encoder) -> Encoder:
     REGISTRY[encoder.name] = encoder
     return encoder
@@ -54,6 +92,28 @@ class Config:
         return e.size if e.fixed_size or not self.size else self.size
 
 
+def write_pngs(photos: DataFrame, root: str) -> DataFrame:
+    """filename, image to files below root, a folder that all executors mount; each is renamed into place. Returns the filenames as it writes."""
+    import os
+    import uuid
+
+    ship(photos.sparkSession)
+    root = root.removeprefix("file://")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, row in zip(f["filename"], f["image"], strict=True):
+                path = f"{root}/{name}"
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}"
+                with open(part, "wb") as fh:
+                    fh.write(I.png(I.from_struct(row)))
+                os.replace(part, path)
+            yield f[["filename"]]
+
+    return photos.mapInPandas(run, "filename string")
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
@@ -73,8 +133,8 @@ def encode_batch(batch: np.ndarray, e: Encoder, config: Config) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def encode_views(images: DataFrame, e: Encoder, config: Config = Config(), mirrored: bool = False, trim: bool = True, batch: int = 32) -> DataFrame:
-    """item_id, view_id, image to item_id, view_id, mirrored, emb; a mirrored copy of each view if asked for. Null images are left out."""
+def encode_views(images: DataFrame, e: Encoder, config: Config = Config(), mirrored: bool = False, trim: bool = True, batch: int = 32, gpus: float = 0.0) -> DataFrame:
+    """item_id, view_id, image to item_id, view_id, mirrored, emb; a mirrored copy of each view if asked for. Null images are left out. gpus: of an accelerator for each task."""
     ship(images.sparkSession)
     side = config.size_for(e)
     rows = images.where(F.col("image").isNotNull()).select("item_id", "view_id", "image").withColumn("mirrored", F.explode(F.array(*[F.lit(x) for x in ((False, True) if mirrored else (False,))])))
@@ -90,7 +150,7 @@ def encode_views(images: DataFrame, e: Encoder, config: Config = Config(), mirro
                     arrays.append(a[:, ::-1] if flip else a)
                 yield pd.DataFrame({"item_id": g["item_id"], "view_id": g["view_id"], "mirrored": g["mirrored"], "emb": list(encode_batch(np.stack(arrays), e, config))})
 
-    return rows.mapInPandas(run, "item_id long, view_id int, mirrored boolean, emb array<float>")
+    return rows.mapInPandas(run, "item_id long, view_id int, mirrored boolean, emb array<float>", profile=profile(images.sparkSession, gpus))
 
 
 def crops(img: np.ndarray, e: Encoder, config: Config, localised: bool) -> tuple[list[tuple[str, np.ndarray]], float | None]:

@@ -29,9 +29,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -85,12 +87,34 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest's text columns and line (from 2, the header being line 1) for files that keep their line order in one partition."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
-    missing = sorted(set(MANIFEST) - set(rows.columns))
+    """A manifest's text columns and line, the file's line that a row starts on (the header is line 1; blank lines and quoted cells of several lines count).
+
+    A manifest is a list of photos labelled by hand: a file of it is read whole in one task.
+    """
+    import csv
+    import io
+
+    names = spark.read.option("header", True).option("multiLine", True).csv(path).columns
+    missing = sorted(set(MANIFEST) - set(names))
     if missing:
         raise ValueError(f"manifest is missing columns: {missing}")
-    return rows.select(*MANIFEST).withColumn("line", F.monotonically_increasing_id() + 2)
+
+    def parse(frames: Iterable) -> Iterable:
+        for f in frames:
+            out = []
+            for text in f["value"]:
+                rows = csv.reader(io.StringIO(text, newline=""))
+                head = [h.strip().lstrip("\ufeff") for h in next(rows, [])]
+                at = {c: head.index(c) for c in MANIFEST if c in head}
+                begins = rows.line_num + 1
+                for row in rows:
+                    if row:
+                        out.append((*[(row[at[c]] or None) if c in at and at[c] < len(row) else None for c in MANIFEST], begins))
+                    begins = rows.line_num + 1
+            yield pd.DataFrame(out, columns=[*MANIFEST, "line"])
+
+    whole = spark.read.text(path, wholetext=True)
+    return whole.mapInPandas(parse, ", ".join(f"{c} string" for c in MANIFEST) + ", line long")
 
 
 def write_ids(ids: DataFrame, path: str) -> None:
@@ -104,7 +128,7 @@ def read_ids(spark: SparkSession, path: str, name: str = "product_id") -> DataFr
     """The ids of such a file; a missing one is an empty list."""
     if not exists(spark, path):
         return spark.createDataFrame([], f"{name} long")
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "array<long>")).alias(name))
 
 

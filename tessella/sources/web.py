@@ -1,4 +1,4 @@
-"""A page source: fetches URLs with a rate limit, retries and back-off. The fetcher is injected, so tests and offline runs need no network."""
+"""A page source: fetches URLs with a rate limit, retries and back-off. The fetch function is a parameter, so tests and offline runs need no network."""
 
 from __future__ import annotations
 
@@ -14,9 +14,27 @@ class NotFound(Exception):
     """The page doesn't exist; no use in trying again."""
 
 
+def http_get(url: str, timeout: float = 30.0, agent: str = "catalogue-harvest/1.0") -> bytes:
+    """The body by HTTP; NotFound where the server says that there is none."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    try:
+        with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as answer:  # noqa: S310  the caller gives the URLs
+            return answer.read()
+    except HTTPError as e:
+        if e.code in (404, 410):
+            raise NotFound(url) from e
+        raise
+
+
+def http_text(url: str) -> str:
+    return http_get(url).decode("utf-8", "replace")
+
+
 @dataclass
 class RateLimiter:
-    """At least min_interval seconds between calls that share it. On a cluster each task has one: the whole rate is tasks / interval."""
+    """At least min_interval seconds between calls that share it; see fetch_pages for a limit over all tasks."""
 
     min_interval: float
     clock: Callable[[], float] = time.monotonic
@@ -54,11 +72,15 @@ class Fetcher:
         return None
 
 
-def fetch_pages(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
-    """url to url, html, status (ok, missing, failed). One gate for each task."""
+def fetch_pages(urls: DataFrame, fetcher: Fetcher, workers: int = 4) -> DataFrame:
+    """url to url, html, status (ok, missing, failed).
+
+    One rate for all: the URLs are dealt to `workers` tasks, and each task's gate waits workers times the fetcher's delay between calls, so
+    that whichever of them run, no more than one call starts in each delay on average.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = RateLimiter(fetcher.delay)
+        gate = RateLimiter(fetcher.delay * workers)
         for f in frames:
             rows = []
             for url in f["url"]:
@@ -69,4 +91,4 @@ def fetch_pages(urls: DataFrame, fetcher: Fetcher) -> DataFrame:
                     rows.append((url, None, "failed"))
             yield pd.DataFrame(rows, columns=["url", "html", "status"])
 
-    return urls.select("url").mapInPandas(run, "url string, html string, status string")
+    return urls.select("url").repartition(workers).mapInPandas(run, "url string, html string, status string")

@@ -75,6 +75,55 @@ def test_index_query_bench_eval(spark, shop, tmp_path, whiten):
             cli.main(["query", *ask], spark)
 
 
+@pytest.fixture(scope="module")
+def catalogue_of_60(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("large")
+    for i in range(1, 61):
+        for v in range(3):
+            png(root / "images" / f"{i:02d}" / str(i) / f"{v}.png", picture(i, 4 * v))
+    colours = {i: [i + 1] if i % 10 == 0 else [] for i in range(1, 61)}
+    items = [(i, f"Model {i}", "Maker", "red", "Boots", "", "", "", [], colours[i], [], f"u{i}", "") for i in range(1, 61)]
+    tables.write_jsonl(spark.createDataFrame(items, tables.ITEMS), f"file://{root}/items.jsonl")
+    return root
+
+
+def test_all_commands_of_an_evaluation(spark, catalogue_of_60, tmp_path):
+    """testset, index, calibrate and eval in a row; query and eval agree on the first item, its probability and the refusal."""
+    import json
+
+    given = ["--items", f"file://{catalogue_of_60}/items.jsonl", "--images", f"file://{catalogue_of_60}/images"]
+    out = cli.main(["all", *given, "--out", str(tmp_path), "--n-items", "12", "--n-ooc", "8", "--least", "5", "--boot", "50"], spark)
+    assert out["testset"] == {"clean": 12, "hard": 36, "out_of_catalogue": 8}
+    held = {r[0] for r in tables.read_ids(spark, f"file://{tmp_path}/testset/exclude_from_index.json").collect()}
+    assert len(held) >= 8 and out["index"] == 3 * (60 - len(held))
+    assert out["calibrate"]["n"] == 60 and out["calibrate"]["with_quality"]["auroc_calibrated"] > 0.6
+    three = out["eval"]["refusal"]["three_way"]
+    assert set(three) >= {"far", "frr", "wrong_accept"} and 0 <= three["frr"] <= 1 and out["eval"]["clean"]["latency_ms_median"] > 0
+    rows = [json.loads(x) for p in (tmp_path / "report" / "per_photo").glob("*.json") for x in p.read_text().splitlines()]
+    assert len(rows) == 56 and all(r["set_size"] is not None and (r["set_size"] == 0) == r["refused"] for r in rows)
+    ask = cli.main(["query", "--images", f"file://{tmp_path}/testset/hard", "--index", f"file://{tmp_path}/index", "--calibrator", f"file://{tmp_path}/calibrator", "--k", "5"], spark)
+    key = lambda r: (r["top1"], round(r["p_match"], 9), r["refused"])
+    first = sorted((r["item_id"], round(r["p_match"], 9), r["refused"]) for r in ask if r["rank"] == 1)
+    assert first == sorted(key(r) for r in rows if r["kind"] == "hard")
+
+
+def test_bakeoff_shotlist_and_images(spark, catalogue_of_60, tmp_path, monkeypatch):
+    given = ["--items", f"file://{catalogue_of_60}/items.jsonl"]
+    rows = cli.main(["bakeoff", *given, "--images", f"file://{catalogue_of_60}/images", "--encoder", "colour-grid", "--held", "5"], spark)
+    assert rows[0]["clean_r1"] > 0.9 and rows[0]["clean_n"] >= 50 and 0 <= rows[0]["hard_auroc"] <= 1
+    (tmp_path / "have.txt").write_text("maker MODEL 7\n\nnothing of that kind\n")
+    out = cli.main(["shotlist", "--have", f"file://{tmp_path}/have.txt", *given, "--out", f"file://{tmp_path}/shots"], spark)
+    assert out == {"resolved": 1, "photos_each": 8, "missing": ["nothing of that kind"]}
+    best = spark.read.option("header", True).csv(f"file://{tmp_path}/shots/shotlist.csv").where("rank = 1").first()
+    assert best.item_id == "7" and spark.read.option("header", True).csv(f"file://{tmp_path}/shots/shot_plan.csv").count() == 8
+    items = spark.createDataFrame([(1, ["http://a/0", "http://a/1", "http://a/2"])], "product_id long, images array<string>")
+    tables.write_jsonl(items, f"file://{tmp_path}/two.jsonl")
+    monkeypatch.setattr(cli.web, "http_get", lambda url: b"x" + url.encode())
+    args = ["images", "--items", f"file://{tmp_path}/two.jsonl", "--root", str(tmp_path / "got"), "--views", "2", "--delay", "0"]
+    assert cli.main(args, spark) == {"ok": {"n": 2, "failed_urls": []}} and cli.main(args, spark)["skipped"]["n"] == 2
+    assert (tmp_path / "got" / "01" / "1" / "1.jpg").read_bytes() == b"xhttp://a/1"
+
+
 def test_present_views_usable_items_and_summary(spark, shop):
     from tessella.operators import catalogue, guards
 
