@@ -51,7 +51,8 @@ def sigmoid_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Calibrator:
     """Balanced logistic regression on standardised features in item-disjoint folds; each fold's model is calibrated on the fold it hasn't seen.
 
-    Isotonic from 1000 rows, else sigmoid. Labelled photos are evaluation data: folds are fitted in parallel, one task each.
+    Isotonic from 1000 rows, else sigmoid. Labelled photos are evaluation data: folds are fitted in parallel, one task each, and more than `most`
+    rows are an error, as every task gets all of them.
     """
 
     include_quality: bool = True
@@ -62,13 +63,15 @@ class Calibrator:
 
     SCHEMA = "names ARRAY<STRING>, mean ARRAY<DOUBLE>, std ARRAY<DOUBLE>, models ARRAY<STRUCT<coef: ARRAY<DOUBLE>, knots: ARRAY<DOUBLE>, values: ARRAY<DOUBLE>, a: DOUBLE, b: DOUBLE>>"
 
-    def fit(self, rows: DataFrame, label: str = "y", group: str | None = "item_id", columns: tuple[str, ...] | None = None) -> Calibrator:
+    def fit(self, rows: DataFrame, label: str = "y", group: str | None = "item_id", columns: tuple[str, ...] | None = None, most: int = 500_000) -> Calibrator:
         spark = rows.sparkSession
         ship(spark)
         self.names = list(columns or feature_names(self.include_quality))
         z, s = standardise(rows, self.names)
         self.mean, self.std = [s[f"m_{c}"] for c in self.names], [s[f"s_{c}"] + 1e-9 for c in self.names]
         n = rows.count()
+        if n > most:
+            raise ValueError(f"{n} labelled rows: more than {most} don't fit the tasks; draw some of them first")
         groups = rows.select(group).distinct().count() if group else 0
         folds = min(5, groups) if groups >= 5 else 3
         by = fold_of(group, folds) if groups >= 5 else F.pmod(F.xxhash64(*self.names), F.lit(folds))

@@ -45,27 +45,27 @@ def latency(rows: DataFrame, value: str = "latency_ms") -> DataFrame:
     return n.crossJoin(out)
 
 
-def draw(replicate: Column, place: Column, salt: str = "") -> Column:
-    """A uniform hash draw in (0, 1) for a cluster in a replicate: equal on every engine that has md5."""
-    bits = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(salt), replicate.cast("string"), place.cast("string"))), 1, 8), 16, 10).cast("double")
-    return (bits + F.lit(0.5)) / F.lit(float(1 << 32))
+#: How often a cluster is drawn, as a step function of a uniform draw of eight hex digits: P(Poisson(1) <= k), up to where these end.
+POISSON = tuple(f"{min(2**32 - 1, int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32)):08x}" for k in range(12))
 
 
-#: How often a cluster is drawn, as a step function of a uniform draw: P(Poisson(1) <= k), up to where 32 bits end.
-POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(12))
-
-
-def times_drawn(u: Column) -> Column:
+def times_drawn(digits: Column) -> Column:
     out = F.lit(len(POISSON))
     for k in reversed(range(len(POISSON))):
-        out = F.when(u <= POISSON[k], F.lit(k)).otherwise(out)
+        out = F.when(digits < POISSON[k], F.lit(k)).otherwise(out)
     return out
 
 
 def replicates(cells: DataFrame, n_boot: int, salt: str) -> DataFrame:
-    """Each row of cells (g: its cluster) once for each replicate b that draws its cluster, with times. Rows stream into a partial sum by b; draws need no order."""
-    each = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    return each.withColumn("times", times_drawn(draw(F.col("b"), F.col("g"), salt))).where("times > 0")
+    """Each row of cells (g: its cluster) once for each replicate b that draws its cluster, with times. Rows stream into a partial sum by b; draws need no order.
+
+    One md5 of salt, b div 4 and cluster serves four replicates, eight hex digits each: equal on every engine.
+    """
+    each = cells.withColumn("__four", F.explode(F.sequence(F.lit(0), F.lit(-(-n_boot // 4) - 1))))
+    each = each.withColumn("__digits", F.md5(F.concat_ws("-", F.lit(salt), F.col("__four").cast("string"), F.col("g").cast("string"))))
+    each = each.withColumn("__j", F.explode(F.array(*[F.lit(j) for j in range(4)]))).withColumn("b", F.col("__four") * 4 + F.col("__j"))
+    each = each.withColumn("times", times_drawn(F.substring("__digits", F.col("__j") * 8 + 1, F.lit(8))))
+    return each.where((F.col("times") > 0) & (F.col("b") < n_boot)).drop("__four", "__j", "__digits")
 
 
 def cluster_bootstrap(rows: DataFrame, value: str, group: str, n_boot: int = 10_000, alpha: float = 0.05, salt: str = "b") -> DataFrame:

@@ -1,7 +1,7 @@
 """The catalogue operators as queries over the supplied tables, each with its DuckDB SQL where SQL can express it.
 
-In the search queries a view is a row of embeddings, its item the label (or vec_id div 4 where many items are needed); every fifth vector is a
-query and the others are the index.
+In the search queries a view is a row of embeddings, its item the label (or vec_id div 4 where many items are needed). Plain searches ask with every
+fiftieth vector against all rows; where a figure needs queries that aren't indexed, every fifth vector is a query and the others are the index.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tessella.functions import vectors as V
 from tessella.operators import catalogue, confidence, evaluate, graph, guards, search
 from tessella.operators import stats as S
 from tessella.operators.search import ship
-from tessella.operators.vector_index import Whitening, cap_views
+from tessella.operators.vector_index import Whitening
 from tessella.sources.tables import read
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def vectors(spark, d, item="label"):
     return q, e.where("vec_id % 5 <> 0").select(F.col("item").alias("item_id"), F.col("vec_id").alias("view_id"), F.col("embedding").alias("emb"))
 
 
+def whole(spark, d):
+    """The stated query set, ids divisible by 50, against all rows."""
+    e = read(spark, d, "embeddings").withColumn("item_id", F.col("label").cast("long"))
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("emb")), e.select("item_id", F.col("vec_id").alias("view_id"), F.col("embedding").alias("emb"))
+
+
 def scores(spark, d, item="label"):
     q, v = vectors(spark, d, item)
     return q, search.item_scores(q, v)
@@ -70,24 +76,24 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, it
 
 
 LABEL, QUAD = sql_scores(), sql_scores("vec_id // 4")
+WHOLE = LABEL.replace("FROM e WHERE vec_id % 5 = 0)", "FROM e WHERE vec_id % 50 = 0)").replace("FROM e WHERE vec_id % 5 <> 0)", "FROM e)")
 
 
-@query(LABEL + "SELECT query_id, rank, item_id, round(score, 6) AS score, best_view FROM k WHERE rank <= 5")
+@query(WHOLE + "SELECT query_id, rank, item_id, round(score, 6) AS score, best_view FROM k WHERE rank <= 5")
 def search_topk(spark, d):
-    q, v = vectors(spark, d)
+    q, v = whole(spark, d)
     return search.search(q, v, 5).select("query_id", "rank", "item_id", r6("score").alias("score"), "best_view")
 
 
-@query(LABEL + "SELECT query_id, rank, item_id, round(score, 6) AS score, best_view FROM k WHERE rank <= 3")
+@query(WHOLE + "SELECT query_id, rank, item_id, round(score, 6) AS score, best_view FROM k WHERE rank <= 3")
 def search_topk_builtin(spark, d):
-    q, v = vectors(spark, d)
+    q, v = whole(spark, d)
     return search.search_sql(q, v, 3).select("query_id", "rank", "item_id", r6("score").alias("score"), "best_view")
 
 
-@query(LABEL + "SELECT query_id, item_id, round(score, 6) AS score, best_view FROM s")
+@query(WHOLE + "SELECT query_id, item_id, round(score, 6) AS score, best_view FROM s")
 def search_best_view(spark, d):
-    _, s = scores(spark, d)
-    return s.select("query_id", "item_id", r6("score").alias("score"), "best_view")
+    return search.item_scores(*whole(spark, d)).select("query_id", "item_id", r6("score").alias("score"), "best_view")
 
 
 @query(LABEL + "SELECT a.query_id, a.truth AS item_id, 1 + sum((b.score > a.score)::BIGINT)::BIGINT AS rank FROM s a JOIN s b USING (query_id) WHERE a.item_id = a.truth GROUP BY ALL")
@@ -244,12 +250,6 @@ def l2_normalise(spark, d):
     return u.select("vec_id", F.round(V.norm(F.col("v")), 5).alias("norm_before"), F.round(V.norm(F.col("u")), 5).alias("norm_after"), F.round(F.col("u")[0], 5).alias("first"))
 
 
-@query()
-def capped_views(spark, d):
-    _, v = vectors(spark, d)
-    return cap_views(v, 4).select("item_id", "view_id")
-
-
 @query()
 def pca_whiten(spark, d):
     _, v = vectors(spark, d)
@@ -452,8 +452,8 @@ def wilson_by_type(spark, d):
 
 
 @query(f"""WITH g AS (SELECT user_id AS g, sum((value > 50)::INT)::DOUBLE AS s, count(*) AS n FROM events GROUP BY user_id),
-p AS (SELECT b, s, n, (('0x' || substr(md5('b-' || b || '-' || g), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE AS u FROM g, range({BOOT}) x(b)),
-w AS (SELECT *, len(list_filter([{", ".join(f"{x!r}::DOUBLE" for x in S.POISSON)}], lambda c: u > c)) AS times FROM p),
+p AS (SELECT b, s, n, substr(md5('b-' || b // 4 || '-' || g), 1 + 8 * (b % 4)::INT, 8) AS u FROM g, range({BOOT}) x(b)),
+w AS (SELECT *, len(list_filter({list(S.POISSON)!r}, lambda c: u >= c)) AS times FROM p),
 t AS (SELECT b, sum(times * s) / sum(times * n) AS m FROM w WHERE times > 0 GROUP BY b)
 SELECT round((SELECT sum(s) / sum(n) FROM g), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT sum(n) FROM g)::BIGINT AS n FROM t""")
 def cluster_bootstrap(spark, d):
@@ -598,11 +598,6 @@ def on_pictures(spark, d, f, schema):
     return read(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, schema)
 
 
-@query()
-def image_quality(spark, d):
-    return on_pictures(spark, d, lambda v, p: tuple(round(x, 4) for x in I.quality(p)), "vec_id long, laplacian_var double, mean_luma double, luma_p05 double, luma_p95 double")
-
-
 @query()
 def image_trim(spark, d):
     def f(v, p):
@@ -632,33 +627,3 @@ def image_salient_box(spark, d):
         return (*[round(b, 4) for b in box], round(area, 4), crop.shape[0], crop.shape[1])
 
     return on_pictures(spark, d, f, "vec_id long, x0 double, y0 double, x1 double, y1 double, area double, height int, width int")
-
-
-@query()
-def evaluation_report(spark, d):
-    """The whole evaluation on vectors in place of photos: one row for each figure."""
-    e = read(spark, d, "embeddings").where("vec_id % 5 = 0")
-    kind = F.when(F.col("label") >= 8, "out_of_catalogue").when(F.col("vec_id") % 3 == 0, "clean").otherwise("hard")
-    cond = F.array_compact(F.array(F.when(F.col("vec_id") % 2 == 0, "low_light"), F.when(F.col("vec_id") % 7 < 3, "motion_blur")))
-    photos = e.select(F.col("vec_id").alias("photo_id"), F.when(F.col("label") < 8, F.col("label").cast("long")).alias("item_id"), kind.alias("kind"), F.lit("test").alias("split"), F.when(kind == "hard", cond).otherwise(F.array().cast("array<string>")).alias("conditions"))
-    q, v = vectors(spark, d)
-    results = evaluate.photo_results(photos, q.select("query_id", "emb"), v.where("item_id < 8"))
-    from tessella.sources.tables import written
-
-    r = evaluate.evaluate(written(results, "results"))
-    rows = [(f"{t}.{k}", float(b["point"])) for t in ("hard", "clean") if t in r for k, b in r[t].items() if isinstance(b, dict)]
-    rows += [("refusal.auroc", float(r["refusal"]["auroc"])), ("risk.aurc", float(r["risk_coverage"]["aurc"])), ("gap.p", float(r.get("gap_paired", {}).get("p_value", float("nan"))))]
-    return spark.createDataFrame([(k, round(x, 6)) for k, x in rows], "figure string, value double")
-
-
-@query()
-def bake_off(spark, d):
-    e = read(spark, d, "embeddings").select(F.col("vec_id"), F.expr("vec_id div 4").alias("item_id"), F.col("embedding").alias("emb"))
-    held = e.where("item_id % 10 = 9")
-    rest = e.where("item_id % 10 <> 9")
-    styles = e.select("item_id", F.expr("item_id div 2").alias("style_id")).distinct()
-    out = evaluate.bake_off(
-        rest.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), "item_id", "emb"), rest.where("vec_id % 4 <> 0").select("item_id", F.col("vec_id").alias("view_id"), "emb"), styles,
-        held.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), "emb"),
-    )
-    return out.select("n", *[r6(c).alias(c) for c in out.columns if c != "n"])
