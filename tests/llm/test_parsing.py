@@ -266,6 +266,50 @@ def test_cut_conversations_decode_as_whole_ones(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) >= len(rows)
 
 
+def plain_viterbi(model, rows):
+    """rows: (role, text) of one conversation in order, to the best path's score and, for each line, its state: one table over all lines, no matrices."""
+    from tessella.llm import chat_format as C
+
+    lines = [(mark, seen, k == 0) for role, text in rows for k, (mark, seen, _) in enumerate(C.row_lines(role, text))]
+    emit = lambda s, mark, seen: model.marks[s][mark] + model.looks[s][seen]
+    table = [[(model.start[s] + emit(s, *lines[0][:2]), -1) for s in range(C.N_STATES)]]
+    for mark, seen, new in lines[1:]:
+        table.append([max((table[-1][a][0] + model.step[1 if new else 0][a][b] + emit(b, mark, seen), -a) for a in range(C.N_STATES)) for b in range(C.N_STATES)])
+    state = max(range(C.N_STATES), key=lambda s: table[-1][s][0])
+    best, path = table[-1][state][0], [state]
+    for row in table[:0:-1]:
+        state = -row[state][1]
+        path.append(state)
+    return best, path[::-1], lines
+
+
+def test_query_against_plain_viterbi(spark, tmp_path):
+    """The registered query on conversations with most roles masked: roles and turns are those of Viterbi over whole conversations."""
+    from tessella.llm import chat_format as C
+    from tessella.llm.queries import queries
+
+    rnd = random.Random(14)
+    rows = [r[:4] for r in chats(60, rnd, lambda c, t: rnd.random() < 0.5)]
+    rows += [(100 + c, t, rnd.choice([None, None, "user", "bot"]), "\n".join(rnd.choice(["Why is it?", "User: so", "It is.", "- a list", "Bot: no", "", "word " * rnd.randint(1, 60)]) for _ in range(rnd.randint(1, 6)))) for c in range(25) for t in range(rnd.randint(1, 12))]
+    rows = list({(c, t): (c, t, r, x) for c, t, r, x in rows}.values())
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    table.write.parquet(f"file://{tmp_path}/conversations.parquet")
+    model = C.fit(table.withColumnRenamed("conv_id", "cid"))
+    got = {}
+    for r in sorted(queries()["op1_chat_format"](spark, f"file://{tmp_path}").collect(), key=lambda r: (r.conv_id, r.turn, r.part_no)):
+        got.setdefault(r.conv_id, []).append((r.turn, r.role, r.n_lines))
+    for c in {r[0] for r in rows}:
+        of = sorted((r for r in rows if r[0] == c), key=lambda r: r[1])
+        _, path, lines = plain_viterbi(model, [r[2:] for r in of])
+        want, at = [], -1
+        for state, (_, _, new) in zip(path, lines, strict=True):
+            at += new
+            if new or state % 2 == 0:
+                want.append([of[at][1], C.ROLES[state // 2], 0])
+            want[-1][2] += 1
+        assert got[c] == [tuple(w) for w in want], c
+
+
 def tile_oracle(doc, item, least):
     """Greedy string tiling by the book: all maximal matches, longest first."""
     fd, fi, out = [True] * len(doc), [True] * len(item), []
