@@ -31,6 +31,8 @@ K, T = 32, 15
 ALL, LEAST = 128, 80
 #: Rows of a posting that one block holds; larger postings meet block by block.
 BLOCK = 512
+#: Rows of one side where two blocks of a posting are compared row by row.
+PAIR = 256
 _MUL, _ADD = seeded(K, 5), seeded(K, 6)
 _MUL32, _ADD32 = ((seeded(ALL - K, s) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for s in (7, 8))
 
@@ -317,7 +319,7 @@ def near_rows(rows: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # a posting's largest component is met by the rest of the posting, not by itself: near copies of one text cost no pairs of blocks
     sizes = dealt.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    in_blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    in_blocks = lambda rows: F.ceil(rows / PAIR).cast("int")
     mixed = written(mixed.select("key", F.col("top.component").alias("major"), in_blocks(F.col("all") - F.col("top.n")).alias("few"), in_blocks(F.col("top.n")).alias("many")), "near-mixed")
     met, is_major = dealt.join(mixed, "key"), F.col("component") == F.col("major")
     at = F.xxhash64("rep")
