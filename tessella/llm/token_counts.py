@@ -89,8 +89,8 @@ class WordEncoder:
         probes = ["hello", "a", "zebrahoods", "straße", "été", "ñandú", "œuvre", "qzxv"]
         self.spelling = byte_letters()
         self.direct = all(self._model(p.encode()) == struct.pack(f"<{len(e)}i", *e) for p, e in zip(probes, self._whole(probes), strict=True))
-        #: A word's ids as little-endian 32-bit integers.
-        self.ids = Memory(most)
+        #: A word's ids as little-endian 32-bit integers, and how many they are; a worker fills the one that it is asked for.
+        self.ids, self.counts = Memory(most), Memory(most)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -136,19 +136,59 @@ class WordEncoder:
             return _RUN.sub(rb" \1 ", text).split()
         return text.replace(b",", b" , ").replace(b".", b" . ").split()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers. New words of all the texts are encoded together."""
-        self.ids.room()
-        young = self.ids.young
+    def _looked_up(self, texts: list[bytes], memory: Memory, value: Callable[[bytes], object]) -> list[list]:
+        """What the memory holds for each word of each text. New words of all the texts are encoded together, in batches."""
+        memory.room()
+        young = memory.young
         split = [self._split(t) for t in texts]
         found = [list(map(young.get, words)) for words in split]
         gaps = [list(nones(f)) for f in found]
-        new = self.ids.revived({words[i] for words, g in zip(split, gaps, strict=True) for i in g})
-        young.update(zip(new, self._encoded(new), strict=True))
+        new = memory.revived({words[i] for words, g in zip(split, gaps, strict=True) for i in g})
+        young.update(zip(new, map(value, self._encoded(new)), strict=True))
         for words, f, g in zip(split, found, gaps, strict=True):
             for i in g:
                 f[i] = young[words[i]]
-        return [b"".join(f) for f in found]
+        return found
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        return [b"".join(f) for f in self._looked_up(texts, self.ids, bytes)]
+
+    def lengths(self, texts: list[bytes]) -> list[int]:
+        """How many ids each text has; no text's ids are put together."""
+        return [sum(f) for f in self._looked_up(texts, self.counts, lambda ids: len(ids) // 4)]
+
+    #: Whether a text's tokens are those of its parts between blanks.
+    cuts = True
+
+
+class WholeEncoder:
+    """The same for vocabularies whose tokens may hold white space: whole texts in batches, by tokenizers (.json) or sentencepiece (.model)."""
+
+    cuts = False
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self._ids = lambda texts: model.encode(texts, num_threads=1)
+        else:
+            import os
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            whole.no_truncation()
+            whole.no_padding()
+            self._ids = lambda texts: [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(ids, "<i4").tobytes() for ids in self._ids([t.decode() for t in texts])]
+
+    def lengths(self, texts: list[bytes]) -> list[int]:
+        return [len(ids) for ids in self._ids([t.decode() for t in texts])]
 
 
 def small_letters(word: bytes) -> bool:
@@ -160,9 +200,14 @@ def small_letters(word: bytes) -> bool:
 
 
 @functools.lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
-    """One for each Python worker, so that its memory serves all tasks that the worker runs."""
-    return WordEncoder(path)
+def text_encoder(path: str) -> WordEncoder | WholeEncoder:
+    """One for each Python worker, so that its memory serves all tasks that the worker runs. Probes decide whether words can be encoded apart."""
+    if path.endswith(".model"):
+        return WholeEncoder(path)
+    try:
+        return WordEncoder(path)
+    except ValueError:
+        return WholeEncoder(path)
 
 
 def parts_letters(tokenizer) -> bool:
@@ -196,11 +241,11 @@ def pieces(text: bytes, most: int) -> Iterator[bytes]:
         yield text[at:]
 
 
-def balanced(texts: Iterable[bytes], most: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Pieces in batches of about `most` bytes, each with its text's place."""
+def balanced(texts: Iterable[bytes], most: int, cuts: bool = True) -> Iterator[list[tuple[int, bytes]]]:
+    """Pieces, or whole texts where these can't be cut, in batches of about `most` bytes, each with its text's place."""
     batch, held = [], 0
     for i, text in enumerate(texts):
-        for piece in pieces(text, most):
+        for piece in pieces(text, most) if cuts else (text,):
             batch.append((i, piece))
             held += len(piece)
             if held >= most:
@@ -214,12 +259,13 @@ def counter(path: str, batch_bytes: int) -> Callable:
     """An Arrow function: (doc_id, text) to (doc_id, n_bytes, n_tokens)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = None
+        encoder = None
         for batch in batches:
-            measure = measure or lengths(path)
+            encoder = encoder or text_encoder(path)
             sizes, totals = [0] * batch.num_rows, [0] * batch.num_rows
-            for part in balanced((t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)), batch_bytes):
-                for (i, piece), n in zip(part, measure([p for _, p in part]), strict=True):
+            texts = (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1))
+            for part in balanced(texts, batch_bytes, encoder.cuts):
+                for (i, piece), n in zip(part, encoder.lengths([p for _, p in part]), strict=True):
                     sizes[i] += len(piece)
                     totals[i] += n
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
@@ -227,31 +273,11 @@ def counter(path: str, batch_bytes: int) -> Callable:
     return count
 
 
-def lengths(path: str) -> Callable[[list[bytes]], list[int]]:
-    """Token counts of a batch: tokenizers for .json, sentencepiece for .model."""
-    if path.endswith(".model"):
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda parts: [len(x) for x in model.encode([p.decode() for p in parts], num_threads=1)]
-    try:
-        encoder = word_encoder(path)
-    except ValueError:
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        whole.no_truncation()
-        whole.no_padding()
-        return lambda parts: [len(e.ids) for e in whole.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-
-    return lambda parts: [len(x) // 4 for x in encoder.encode(parts)]
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, batch_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
-    Texts longer than batch_bytes are cut where white space ends, which for the word tokenizer changes no count; for vocabularies whose
-    tokens may hold white space pass batch_bytes above the longest text. Null or empty text: 0 bytes, 0 tokens. Rows come back one for
+    Texts longer than batch_bytes are cut where white space ends if the vocabulary drops white space, which changes no count; other
+    vocabularies get whole texts. Null or empty text: 0 bytes, 0 tokens. Rows come back one for
     one, repeated and null ids included; columns besides doc_id and text are not read. No shuffle: one pass, memory bounded by a batch.
     """
     ship(docs.sparkSession)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import NO_ID, new_path, partitions, ship, source_columns
-from tessella.llm.token_counts import word_encoder
+from tessella.llm.token_counts import text_encoder
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def encoder(path: str, end_id: int, slice_bytes: int = 1 << 20):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
-            words = words or word_encoder(path)
+            words = words or text_encoder(path)
             low, lengths = 0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             while low < len(lengths):
                 high, held = low, 0

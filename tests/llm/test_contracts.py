@@ -254,6 +254,7 @@ def test_near_duplicates_chain_star_and_blocks(spark, monkeypatch):
     from tessella.llm import minhash_dedup as M
 
     monkeypatch.setattr(M, "BLOCK", 4)
+    monkeypatch.setattr(M, "PAIR", 3)
     rnd = random.Random(9)
     base = [f"w{i}" for i in range(120)]
     rows = [(500, " ".join(base))]
@@ -369,6 +370,32 @@ def test_sentencepiece_counts(spark):
     assert {r.doc_id: r.n_tokens for r in out} == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_vocabularies_that_keep_white_space(spark, name):
+    """Their texts are encoded whole, however long, for counts and for output."""
+    import public_tokenizers
+
+    from tessella.llm.token_counts import token_counts
+    from tessella.llm.token_output import token_output
+
+    path = public_tokenizers.path(name)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice(["word", " ", "  ", "\n", "é", "12", "\t\n", "End."]) for _ in range(n)) for n in (0, 5, 400, 3000)] + [None]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = [list(model.encode(t or "")) for t in texts]
+    else:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, path, batch_bytes=100).collect()} == {i: len(x) for i, x in enumerate(want)}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_output(docs, path).collect()} == {i: (len(x) + 1, brute.crc([*x, 2])) for i, x in enumerate(want)}
+
+
 def test_empty_tables(spark):
     from tessella.llm import chat_format, decontaminate, html_extract, line_dedup, minhash_dedup, mixture, quality_rules, suffix_dedup, token_counts, token_output
 
