@@ -243,7 +243,7 @@ def _confirm(percent: int):
     return confirm
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int, salt_rows: int = 1000) -> DataFrame:
+def confirmed(edges: DataFrame, texts: DataFrame, width: int, percent: int, salt_rows: int = 250) -> DataFrame:
     """The edges a, b whose full shingle sets are similar enough. texts: v, text, one row for each v.
 
     A vertex's text meets its list of hubs once; its set then travels to each hub. A hub with many partners is dealt over salts, its own
