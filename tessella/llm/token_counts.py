@@ -96,7 +96,8 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _model(self, word: bytes) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.decode("latin-1").translate(self.spelling))]
+        spelt = word.decode() if word.isalpha() else word.decode("latin-1").translate(self.spelling)  # of bytes, isalpha means ASCII letters
+        ids = [t.id for t in self.tokenizer.model.tokenize(spelt)]
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def _encoded(self, words: list[bytes]) -> list[bytes]:

@@ -46,7 +46,7 @@ def encoder(path: str, end_id: int, slice_bytes: int = 1 << 20):
     """(did, text) sorted by did in each partition, to rows of the file; first_at counts the partition's ids before the row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at, part = None, 0, TaskContext.get().partitionId()
+        words, at, part, end = None, 0, TaskContext.get().partitionId(), np.array([end_id], "<i4").tobytes()
         for batch in batches:
             words = words or text_encoder(path)
             low, lengths = 0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
@@ -55,18 +55,16 @@ def encoder(path: str, end_id: int, slice_bytes: int = 1 << 20):
                 while high < len(lengths) and (high == low or held + lengths[high] <= slice_bytes):
                     held += lengths[high]
                     high += 1
-                rows, firsts = [], []
-                for one in words.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).slice(low, high - low)]):
-                    rows.append(np.append(np.frombuffer(one, "<i4"), np.int32(end_id)))
-                    firsts.append(at)
-                    at += len(rows[-1])
-                sizes = np.array([len(r) for r in rows], np.int64)
-                values = pa.array(np.concatenate(rows), pa.int32())
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                found = words.encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1).slice(low, high - low)])
+                sizes = np.array([len(one) // 4 + 1 for one in found], np.int64)
+                starts = np.concatenate([[0], np.cumsum(sizes)])
+                flat = pa.py_buffer(end.join(found) + end)
+                values = pa.Array.from_buffers(pa.int32(), int(starts[-1]), [None, flat])
                 yield pa.record_batch(
-                    [batch.column(0).slice(low, high - low), pa.array([part] * (high - low), pa.int32()), pa.array(firsts, pa.int64()), pa.array(sizes), pa.ListArray.from_arrays(offsets, values)],
+                    [batch.column(0).slice(low, high - low), pa.array([part] * (high - low), pa.int32()), pa.array(at + starts[:-1]), pa.array(sizes), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), values)],
                     ["did", "part", "first_at", "n_tokens", "ids"],
                 )
+                at += int(starts[-1])
                 low = high
 
     return encode
