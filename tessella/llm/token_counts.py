@@ -201,12 +201,12 @@ def small_letters(word: bytes) -> bool:
 
 
 @functools.lru_cache(maxsize=1)
-def text_encoder(path: str) -> WordEncoder | WholeEncoder:
-    """One for each Python worker, so that its memory serves all tasks that the worker runs. Probes decide whether words can be encoded apart."""
+def text_encoder(path: str, most: int = 600_000) -> WordEncoder | WholeEncoder:
+    """One for each Python worker, so that its memory of `most` words serves all tasks that the worker runs. Probes decide whether words can be encoded apart."""
     if path.endswith(".model"):
         return WholeEncoder(path)
     try:
-        return WordEncoder(path)
+        return WordEncoder(path, most)
     except ValueError:
         return WholeEncoder(path)
 

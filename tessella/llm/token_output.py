@@ -42,13 +42,13 @@ class Layout:
         }
 
 
-def encoder(path: str, end_id: int, slice_bytes: int = 1 << 20):
+def encoder(path: str, end_id: int, words_held: int, slice_bytes: int = 1 << 20):
     """(did, text) sorted by did in each partition, to rows of the file; first_at counts the partition's ids before the row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, at, part, end = None, 0, TaskContext.get().partitionId(), np.array([end_id], "<i4").tobytes()
         for batch in batches:
-            words = words or text_encoder(path)
+            words = words or text_encoder(path, words_held)
             low, lengths = 0, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
             while low < len(lengths):
                 high, held = low, 0
@@ -70,7 +70,7 @@ def encoder(path: str, end_id: int, slice_bytes: int = 1 << 20):
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, layout: Layout = Layout()) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, layout: Layout = Layout(), words_held: int = 600_000) -> None:
     """Every whole text's ids and the end id, written to path in ascending doc_id order (null ids last, then by text).
 
     Files: part-00000, part-00001, ... are consecutive id ranges; in a file rows ascend. One range shuffle moves the texts; a task
@@ -80,7 +80,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, la
     ship(spark)
     rows = source_columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "text")
     ordered = rows.repartitionByRange(partitions(spark), "did").sortWithinPartitions("did", "text")
-    out = ordered.mapInArrow(encoder(tokenizer, end_id), "did long, part int, first_at long, n_tokens long, ids array<int>")
+    out = ordered.mapInArrow(encoder(tokenizer, end_id, words_held), "did long, part int, first_at long, n_tokens long, ids array<int>")
     writer = out.write
     for k, v in layout.options().items():
         writer = writer.option(k, v)
@@ -120,15 +120,15 @@ def token_file_digest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, layout: Layout = Layout()) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, layout: Layout = Layout(), words_held: int = 600_000) -> DataFrame:
     """Writes the token files and returns their digest.
 
     Null or empty text: the end id alone. Repeated ids keep all their rows, in order of text; null ids come last. An empty table gives
-    an empty result. Other columns are not read.
+    an empty result. Other columns are not read. words_held: how many words a worker remembers, memory against time; it changes no result.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
-    write_tokens(docs, path, tokenizer, end_id, layout)
+    write_tokens(docs, path, tokenizer, end_id, layout, words_held)
     if not [f for f in spark.read.parquet(path).inputFiles()]:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     return token_file_digest(spark, path)
