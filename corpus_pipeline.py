@@ -54,7 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files' digest: doc_id, start, n_tokens, ids_crc32. A null or empty text is the end id alone; null ids come last, equal ids in order of text."""
-    return token_output(docs, tokenizer_path())
+    return token_output(docs, tokenizer_path(), words_held=200_000)  # workers also hold what the stages before left
 
 
 STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mixing), ("token_output", tokens)]
