@@ -559,3 +559,8 @@ def block_of(queries, crops=1):
 def test_task_memory_one_item_of_many_views_aurc():
     n, mb = peak_mb(search._scorer(block_of(6000), 1), 10_000, np.zeros(10_000, np.int64))
     assert n == 6000 and mb < 120
+
+
+def test_task_memory_many_queries_bake_off():
+    n, mb = peak_mb(search._scorer(block_of(6000), 5), 10_000, np.arange(10_000) // 3)
+    assert n == 30_000 and mb < 200
