@@ -564,3 +564,15 @@ def test_task_memory_one_item_of_many_views_aurc():
 def test_task_memory_many_queries_bake_off():
     n, mb = peak_mb(search._scorer(block_of(6000), 5), 10_000, np.arange(10_000) // 3)
     assert n == 30_000 and mb < 200
+
+
+def test_tiles_don_t_change_a_risk_curve(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    emb = rng.integers(-2, 3, (90, 4)).astype(float)
+    views = view_rows(spark, np.arange(90) // 20, emb)
+    q = rows(spark, [(i, vec(e)) for i, e in enumerate(emb[:30])], "query_id long, emb array<float>")
+    curve = lambda: [tuple(r) for r in S.risk_curve(search.search(q, views, 1).select(F.col("query_id").alias("id"), F.col("score").alias("confidence"), (F.col("item_id") == F.expr("query_id div 20")).alias("correct"))).orderBy("place").collect()]
+    want = curve()
+    monkeypatch.setattr(search, "TILE_QUERIES", 7)
+    monkeypatch.setattr(search, "TILE_VIEWS", 3)
+    assert len(want) == 30 and curve() == want
