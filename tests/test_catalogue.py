@@ -587,3 +587,8 @@ def test_separability_makes_no_pairs(spark):
     assert plain(evaluate.search_separability(q, views)) == want and len(want) == 41
     n, mb = peak_mb(search._separator(Sent(search.Block.of([(i, np.ones((1, 8)), 0.0, i) for i in range(6000)]))), 10_000, np.arange(10_000) // 3)
     assert n == 6000 and mb < 120
+
+
+def test_task_memory_ranks_of_candidates_conformal_pvalue():
+    n, mb = peak_mb(search._scorer(block_of(12_000), 5), 5000, np.arange(5000) // 500)
+    assert n == 60_000 and mb < 200
