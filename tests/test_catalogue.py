@@ -592,3 +592,11 @@ def test_separability_makes_no_pairs(spark):
 def test_task_memory_ranks_of_candidates_conformal_pvalue():
     n, mb = peak_mb(search._scorer(block_of(12_000), 5), 5000, np.arange(5000) // 500)
     assert n == 60_000 and mb < 200
+
+
+def test_best_items_in_order_with_ties_conformal_sets():
+    best = search._Best(3, 2)
+    for item in range(0, 40, 4):
+        best.add(slice(0, 2), np.arange(item, item + 4), np.array([[1.0, item], [2.0, item], [2.0, item], [0.0, item]]), None)
+    best.merge()
+    assert best.item[:2].tolist() == [[1, 2], [36, 37]] and best.n.tolist() == [2, 2, 0]
