@@ -600,3 +600,8 @@ def test_best_items_in_order_with_ties_conformal_sets():
         best.add(slice(0, 2), np.arange(item, item + 4), np.array([[1.0, item], [2.0, item], [2.0, item], [0.0, item]]), None)
     best.merge()
     assert best.item[:2].tolist() == [[1, 2], [36, 37]] and best.n.tolist() == [2, 2, 0]
+
+
+def test_task_memory_crops_crop_agreement():
+    n, mb = peak_mb(search._scorer(block_of(4000, 3), 1), 10_000, np.arange(10_000) // 1000)
+    assert n == 4000 and mb < 120
