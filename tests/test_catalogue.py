@@ -605,3 +605,8 @@ def test_best_items_in_order_with_ties_conformal_sets():
 def test_task_memory_crops_crop_agreement():
     n, mb = peak_mb(search._scorer(block_of(4000, 3), 1), 10_000, np.arange(10_000) // 1000)
     assert n == 4000 and mb < 120
+
+
+def test_task_memory_summaries_score_features():
+    n, mb = peak_mb(search._summariser(block_of(4000), 20), 10_000, np.arange(10_000) // 3)
+    assert n == 4000 and mb < 200
