@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.sources.tables import written
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links to links with the same components, fewer than there are vertices: each vertex with the smallest it reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        new = low.copy()
+        least = np.minimum(low[x], low[y])
+        for of in (x, y, low[x], low[y]):
+            np.minimum.at(new, of, least)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    far = low != np.arange(len(ids))
+    return ids[far], ids[low[far]]
+
+
 def components(vertices: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """v, component (the smallest v reachable) of every vertex; edges (a, b) count where both ends are vertices.
 

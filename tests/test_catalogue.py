@@ -610,3 +610,20 @@ def test_task_memory_crops_crop_agreement():
 def test_task_memory_summaries_score_features():
     n, mb = peak_mb(search._summariser(block_of(4000), 20), 10_000, np.arange(10_000) // 3)
     assert n == 4000 and mb < 200
+
+
+def test_links_are_stars_with_the_components_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "WAITING", 50)
+    rng = np.random.default_rng(14)
+    emb = unit(rng.normal(size=(300, 6)))
+    emb[100:200] = emb[100]  # copies: 10,000 pairs
+    n, mb = peak_mb(search._linker(block_of(3000), -np.inf), 3000, np.arange(3000))
+    assert n == 2999 and mb < 120
+    v = rows(spark, [(i, vec(e)) for i, e in enumerate(emb)], "v long, emb array<double>")
+    links = search.links(v, 0.93)
+    assert links.count() <= 300 * links.rdd.getNumPartitions()
+    low = np.arange(300)
+    near = emb @ emb.T >= 0.93
+    for _ in range(300):
+        low = np.array([low[near[i]].min() for i in range(300)])
+    assert {r.v: r.component for r in graph.components(v.select("v"), links).collect()} == dict(enumerate(low.tolist()))
