@@ -627,3 +627,8 @@ def test_links_are_stars_with_the_components_of_all_pairs(spark, monkeypatch):
     for _ in range(300):
         low = np.array([low[near[i]].min() for i in range(300)])
     assert {r.v: r.component for r in graph.components(v.select("v"), links).collect()} == dict(enumerate(low.tolist()))
+
+
+def test_task_memory_each_view_an_item_calibrated_lookups():
+    n, mb = peak_mb(search._scorer(block_of(4000), 10), 10_000, np.arange(10_000))
+    assert n == 40_000 and mb < 200
