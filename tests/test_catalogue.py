@@ -617,6 +617,14 @@ def test_best_items_in_order_with_ties_conformal_sets():
     assert best.item[:2].tolist() == [[1, 2], [36, 37]] and best.n.tolist() == [2, 2, 0]
 
 
+def test_copies_of_a_query_score_equally_conformal_sets():
+    """Strictly lower scores are counted for a p-value, so a copy that is a last bit better or worse would change sets."""
+    block = Sent(search.Block(np.arange(2049), np.repeat(np.random.default_rng(16).normal(size=(1, 8)), 2049, axis=0), np.arange(2049), np.full(2049, np.nan)))
+    emb = list(np.random.default_rng(17).normal(size=(50, 8)).astype(np.float32))
+    out = pd.concat(search._scorer(block, 5)(iter([pd.DataFrame({"item_id": np.arange(50), "view_id": np.arange(50), "emb": emb})])))
+    assert len(out) == 5 * 2049 and out.groupby("item_id")["score"].nunique().tolist() == [1] * 5
+
+
 def test_task_memory_crops_crop_agreement():
     n, mb = peak_mb(search._scorer(block_of(4000, 3), 1), 10_000, np.arange(10_000) // 1000)
     assert n == 4000 and mb < 120
